@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from weftline.plans import time_queries
+
+QUERIES: dict = {
+    "p4_found": time_queries.p4_found,
+    "p4_normalised": time_queries.p4_normalised,
+    "p4_open": time_queries.p4_open,
+}
 ORACLE_SQL: dict[str, str] = {}
