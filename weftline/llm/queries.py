@@ -7,8 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import neardup
-from weftline.session import table
+from weftline.functions.timeparse import with_interpretations
+from weftline.llm import mixing, neardup, packing, runs, splitting, tokens
+from weftline.session import cut, table
+
+
+def _runs(spark: SparkSession, sf_dir: str, timed: bool) -> DataFrame:
+    events = table(spark, sf_dir, "thin_events")
+    if not timed:
+        return runs.collapse_runs(events)
+    zones = table(spark, sf_dir, "host_zones").groupBy("writer_host").agg(F.min("zone_id").alias("host_zone"))
+    events = with_interpretations(events.join(zones, "writer_host", "left"), "timestamp_text", "host_zone")
+    return runs.collapse_runs(events, time_millis=F.get("readings", F.lit(0))["millis"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir, False).where("n_events >= 3").select("session_id", "first_offset", "last_offset")
+
+
+def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir, True)
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "transcript_chunks"), table(spark, sf_dir, "chunk_limits"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).where("piece_no = 0 and n_pieces > 1").select("chunk_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +48,41 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(links, members).withColumnRenamed("id", "obs_id")
 
 
+def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "text", packing.duplicate_cluster(F.col("text")).alias("cluster"), F.col("mean_conf").alias("weight")
+    )
+    return cut(tokens.with_token_counts(docs, "text", ["doc_id", "source", "cluster", "weight"]))
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_document_tokens(spark, sf_dir), table(spark, sf_dir, "pack_capacity"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_report(p7_pack(spark, sf_dir), table(spark, sf_dir, "pack_capacity"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_document_tokens(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets = _document_tokens(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mixing.mix_report(mixing.mix(docs, targets), docs, targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_collapsed": p1_collapsed,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p7_pack": p7_pack,
+    "p7_report": p7_report,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
 }
 
 #: Equivalent SQL where it is quick enough on whole tables; the rest is tested by brute force in tests/llm.
