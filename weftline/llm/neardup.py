@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from weftline.operators.components import connected_components
 from weftline.session import cut
 
-#: Bits of a signature; the first WORDS_FIRST 64-bit words are compared for all pairs of a tile pair.
-SIG_BITS, WORDS, WORDS_FIRST = 256, 4, 2
+#: Bits of a signature and its 64-bit words. For all pairs of a tile pair two words are compared, three or four
+#: where the radius is above these bounds: a signature must have several times as many bits as the radius.
+SIG_BITS, WORDS, THREE_WORDS, FOUR_WORDS = 256, 4, 34, 60
 #: Rows of a tile and of a strip of it that is compared at once.
-TILE_MIN, TILE_MAX, STRIP = 16_384, 262_144, 256
+TILE_MIN, TILE_MAX, STRIP, WIDTH = 16_384, 262_144, 16, 4096
 #: Classes of copies up to this size are written out as all their pairs, larger ones as a star.
 FULL_COPIES = 32
 
@@ -87,28 +88,38 @@ def _compare(t: float):
     q = (1 - t) / (1 + t)
 
     def run(batches):
+        diff = np.empty((STRIP, WIDTH), np.uint64)
+        far, add = np.empty((STRIP, WIDTH), np.uint8), np.empty((STRIP, WIDTH), np.uint8)
         for pdf in batches:
             for x in pdf.itertuples(index=False):
                 sa = np.frombuffer(x.sigs_a, np.uint64).reshape(-1, WORDS)
                 sb = np.frombuffer(x.sigs_b, np.uint64).reshape(-1, WORDS)
                 na, nb = np.frombuffer(x.ns_a, np.int32), np.frombuffer(x.ns_b, np.int32)
                 ia, ib = np.frombuffer(x.ids_a, np.int64), np.frombuffer(x.ids_b, np.int64)
-                cols = [np.ascontiguousarray(sb[:, k]) for k in range(WORDS_FIRST)]
+                cols = [np.ascontiguousarray(sb[:, k]) for k in range(WORDS)]
                 left, right = [], []
                 for s in range(0, len(na), STRIP):
                     e = min(s + STRIP, len(na))
                     # rows are sorted by population count within a tile: partners form one range
                     lo = s + 1 if x.ta == x.tb else np.searchsorted(nb, np.ceil(na[s] * t - 1e-9))
                     hi = np.searchsorted(nb, np.floor(na[e - 1] / t + 1e-9), side="right")
-                    for u in range(int(lo), int(hi), 2048):
-                        v = min(u + 2048, int(hi))
-                        far = np.bitwise_count(sa[s:e, 0:1] ^ cols[0][None, u:v])
-                        for k in range(1, WORDS_FIRST):
-                            far += np.bitwise_count(sa[s:e, k : k + 1] ^ cols[k][None, u:v])
+                    for u in range(int(lo), int(hi), WIDTH):
+                        v = min(u + WIDTH, int(hi))
+                        d, f, g = (m[: e - s, : v - u] for m in (diff, far, add))
                         near = min(255, int((int(na[e - 1]) + int(nb[v - 1])) * q + 1e-9))
-                        i, j = np.nonzero(far <= near)
-                        if not len(i):
+                        dense = 2 if near <= THREE_WORDS else 3 if near <= FOUR_WORDS else WORDS
+                        for k in range(dense):
+                            np.bitwise_xor(sa[s:e, k : k + 1], cols[k][None, u:v], out=d)
+                            np.bitwise_count(d, out=g if k else f)
+                            if k:
+                                np.add(f, g, out=f)
+                        hit = np.flatnonzero(np.less_equal(f, near, out=g.view(bool)))
+                        if not len(hit):
                             continue
+                        i, j = np.divmod(hit, v - u)
+                        if dense < WORDS:  # one more word thins the few that are left
+                            so_far = f[i, j] + np.bitwise_count(sa[i + s, dense] ^ cols[dense][j + u])
+                            i, j = i[so_far <= near], j[so_far <= near]
                         i, j = i + s, j + u
                         if x.ta == x.tb:
                             keep = j > i
@@ -187,8 +198,8 @@ def near_duplicates(
     work = todo.join(side("a"), "ta").join(side("b"), "tb").repartition(max(1, len(pairs)), "ta", "tb")
     near = cut(work.mapInPandas(_compare(threshold), "x long, y long"))
     # Exact check on the words of the few rows that occur in a candidate pair.
-    ends = near.select(F.col("x").alias("id")).union(near.select("y")).distinct()
-    words = sets.join(ends, "id", "left_semi").dropDuplicates(["id"])
+    ends = near.select(F.col("x").alias(id_col)).union(near.select("y")).distinct()
+    words = word_sets(df.join(ends, id_col, "left_semi"), id_col, list(text), list(arrays)).dropDuplicates(["id"])
     both = F.size(F.array_intersect("wx", "wy"))
     links = (
         near.join(words.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
