@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.timeparse import with_interpretations
-from weftline.llm import mixing, neardup, packing, runs, splitting, tokens
+from weftline.llm import mixing, neardup, packing, pii, runs, spam, splitting, tokens
 from weftline.session import cut, table
 
 
@@ -48,6 +48,44 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(links, members).withColumnRenamed("id", "obs_id")
 
 
+def personal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, record_id, field_name, item_no, text) of all free texts that may hold personal data."""
+    obs = table(spark, sf_dir, "observations")
+    one = lambda df, name, key, field: df.select(
+        F.lit(name).alias("table_name"), F.col(key).alias("record_id"), F.lit(field).alias("field_name"), F.lit(0).alias("item_no"), F.col(field).alias("text")
+    )
+    facts = obs.select(
+        F.lit("observations").alias("table_name"), F.col("obs_id").alias("record_id"), F.lit("facts").alias("field_name"), F.posexplode("facts").alias("item_no", "text")
+    )
+    sums = one(table(spark, sf_dir, "session_summaries"), "session_summaries", "summary_id", "summary")
+    return one(obs, "observations", "obs_id", "narrative").unionByName(facts).unionByName(sums)
+
+
+def _given(spark: SparkSession, sf_dir: str) -> list[str]:
+    # a fixed vocabulary
+    return sorted({r[0] for r in table(spark, sf_dir, "given_names").where("given_name is not null").collect()})
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(personal_texts(spark, sf_dir), _given(spark, sf_dir))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_items(spark, sf_dir).select("table_name", "record_id", "field_name", "item_no", "pii_type", "char_start")
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask_pii(personal_texts(spark, sf_dir), _given(spark, sf_dir)).drop("text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.score_pages(table(spark, sf_dir, "documents"))
+
+
 def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", "text", packing.duplicate_cluster(F.col("text")).alias("cluster"), F.col("mean_conf").alias("weight")
@@ -79,10 +117,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pieces": p3_pieces,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p6_masked": p6_masked,
     "p7_pack": p7_pack,
     "p7_report": p7_report,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_pages": p9_pages,
 }
 
 #: Equivalent SQL where it is quick enough on whole tables; the rest is tested by brute force in tests/llm.
