@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.timeparse import with_interpretations
-from weftline.llm import mixing, neardup, packing, pii, runs, spam, splitting, tokens
+from weftline.llm import mixing, neardup, packing, pii, runs, spam, splitting, tokens, truncation
 from weftline.session import cut, table
 
 
@@ -29,6 +29,23 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir, True)
 
 
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [("session_summaries", "summary_id"), ("pending_summaries", "pending_id")]
+    a, b = (
+        table(spark, sf_dir, n).select(F.lit(n).alias("table_name"), F.col(k).alias("record_id"), F.col("writer_host").alias("source"), F.col("summary").alias("text"))
+        for n, k in parts
+    )
+    return a.unionByName(b)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(_summaries(spark, sf_dir)).where("is_cut").select("table_name", "record_id")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncation_report(truncation.truncated(_summaries(spark, sf_dir)))
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf_dir, "transcript_chunks"), table(spark, sf_dir, "chunk_limits"))
 
@@ -113,6 +130,8 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found,
