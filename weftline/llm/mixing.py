@@ -54,7 +54,7 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     here (0.01). Repeated rows of an id are separate documents. A source gives at most its budget, and less
     than the largest document of its sample under it. Empty tables give an empty result.
     """
-    docs = docs.where("n_tokens > 0 and source is not null and doc_id is not null")
+    docs = docs.select("doc_id", "source", "n_tokens", "weight").where("n_tokens > 0 and source is not null and doc_id is not null")
     p = plan_mix(docs, targets, total_tokens).select("source", "epochs", "rest")
     weight = F.when(F.col("weight") > 0.01, F.col("weight")).otherwise(0.01)
     key = sampling_key(F.col("doc_id"), weight, seed)

@@ -134,7 +134,7 @@ def split_bytes(raw: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
         todo += [(p, hi), (lo, p)]
     pieces = [cuts[0]]
     for lo, hi in cuts[1:]:
-        want = max(lo - overlap, hi - limit, 0)
+        want = max(lo - overlap, hi - limit, pieces[-1][0] + 1)  # each piece starts after its predecessor
         near = np.flatnonzero(s[want : lo - overlap // 2 + 1] >= WORD) if overlap else ()
         if not len(near):
             near = np.flatnonzero(s[want : lo + 1] >= CHAR)
