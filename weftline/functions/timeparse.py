@@ -7,7 +7,7 @@ both possible (``day_first=None``), or a local time that occurs twice (``fold="b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Month names and zone abbreviations with their offsets.
@@ -45,19 +45,25 @@ NORMAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 INTERPRETATIONS = "array<struct<form:string,millis:long>>"
 
 
-def _zone(named: Column, host_zone: Column) -> Column:
-    """The zone a text names, else that of its host; unknown abbreviations give a name no zone has."""
+def known_zones(spark: SparkSession) -> list[str]:
+    """The zone names that the JVM's time zone rules know."""
+    return sorted(z for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds() if "/" in z or z in ("UTC", "GMT"))
+
+
+def _zone(named: Column, host_zone: Column, known: list[str]) -> Column:
+    """The zone a text names, else that of its host; null for names and offsets that no zone has."""
     z = F.regexp_replace(named, r"[\[\]]", "")
     bare = F.regexp_replace(z, r"^(?:UTC|GMT)(?=[+-])", "")
     minutes = F.regexp_extract(bare, r"(\d{2})$", 1)
     offset = F.concat(F.substring(bare, 1, 3), F.lit(":"), F.when(F.length(bare) > 3, minutes).otherwise("00"))
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    return (
+    zone = (
         F.when(z == "", host_zone)
         .when(bare.rlike(r"^[+-]\d"), offset)
         .when(z.contains("/"), z)
-        .otherwise(F.coalesce(F.try_element_at(table, F.upper(z)), F.lit("none")))
+        .otherwise(F.try_element_at(table, F.upper(z)))
     )
+    return F.when(zone.isin(known) | zone.rlike(r"^[+-](?:0\d|1[0-7]):[0-5]\d$"), zone)
 
 
 def _parts(x: Column) -> Column:
@@ -107,7 +113,7 @@ def with_interpretations(
         g(5).try_cast("int").alias("_t_mi"),
         F.coalesce(g(6).try_cast("int"), F.lit(0)).cast("decimal(16,6)").alias("_t_s"),
         F.when(g(7) == "", 0).otherwise(F.rpad(F.substring(g(7), 1, 3), 3, "0").try_cast("int")).alias("_t_ms"),
-        _zone(g(9), F.col(host_zone)).alias("_t_zone"),
+        _zone(g(9), F.col(host_zone), known_zones(df.sparkSession)).alias("_t_zone"),
         F.when(g(9) == "", "/host").otherwise("/zone").alias("_t_kind"),
     )
     zone = F.col("_t_zone")

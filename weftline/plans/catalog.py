@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weftline.plans import time_queries
+from weftline.plans import core_queries, time_queries
 
 QUERIES: dict = {
+    **core_queries.QUERIES,
     "p4_found": time_queries.p4_found,
     "p4_normalised": time_queries.p4_normalised,
     "p4_open": time_queries.p4_open,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(core_queries.ORACLE_SQL)
