@@ -147,5 +147,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_pages": p9_pages,
 }
 
+_TOOL = f"regexp_replace(regexp_replace(lower(regexp_replace(tool_name, '^\\s+|\\s+$', '', 'g')), '{runs.WRAP_RE}', ''), '{runs.NUMBER_RE}', '')"
+_RUNS = f"""WITH e AS (SELECT session_id, transcript_offset AS o, event_id, nullif(regexp_replace(replace({_TOOL}, '__', '|'), '[\\s_\\-]+', '', 'g'), '') AS tool FROM thin_events),
+f AS (SELECT session_id, o, min_by(tool, event_id) AS tool FROM e WHERE session_id IS NOT NULL AND o IS NOT NULL AND tool IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY o) - row_number() OVER (PARTITION BY session_id, tool ORDER BY o) AS i FROM f)
+SELECT session_id, min(o) AS first_offset, max(o) AS last_offset FROM g GROUP BY session_id, tool, i HAVING count(*) >= 3"""
+
 #: Equivalent SQL where it is quick enough on whole tables; the rest is tested by brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p1_found": _RUNS,
+    "p3_found": """SELECT chunk_id FROM transcript_chunks JOIN (SELECT provider, min(max_bytes) AS m FROM chunk_limits GROUP BY 1) USING (provider) WHERE octet_length(encode(raw)) > m""",
+}
