@@ -47,7 +47,8 @@ INTERPRETATIONS = "array<struct<form:string,millis:long>>"
 
 def known_zones(spark: SparkSession) -> list[str]:
     """The zone names that the JVM's time zone rules know."""
-    return sorted(z for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds() if "/" in z or z in ("UTC", "GMT"))
+    names = spark._jvm.java.lang.String.join("\n", spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return sorted(z for z in names.split("\n") if "/" in z or z in ("UTC", "GMT"))
 
 
 def _zone(named: Column, host_zone: Column, known: list[str]) -> Column:

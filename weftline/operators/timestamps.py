@@ -3,10 +3,11 @@
 All valid interpretations of a value are generated in the JVM; a Viterbi pass over each source's record
 order picks one per value, at the least cost of format switches and backward time jumps.
 
-The order is cut into range-sorted chunks, so one source may hold any share of the rows. A chunk is
-summarised for its first and its last source by the least cost between each state of the source's first
-row there and each state of its last (a min-plus matrix); the driver chains these few matrices, at most
-two a chunk, and a second pass decodes every chunk with the end states that the chain fixed.
+The order is cut into range-sorted chunks, so one source may hold any share of the rows. A row with one
+reading separates what is before it from what is after it, so a chunk decodes all that lies between two such
+rows. What touches the chunk's ends waits: for its first and its last source the chunk gives the least cost
+between each state of the source's first row there and each of its last (a min-plus matrix), the driver chains
+these few matrices, at most two a chunk, and the waiting rows are decoded with the end states that the chain fixed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.timeparse import is_normal, with_interpretations
-from weftline.session import cut
+from weftline.session import stored
 
 #: Costs of a change of format, of a jump back in time by more than SLACK_MS, and of a less preferred reading.
 SWITCH, BACK, LATER_CHOICE, SLACK_MS = 1.0, 2.0, 1e-3, 60_000
@@ -91,23 +92,72 @@ def _thin(pdf: pd.DataFrame, lo: int, hi: int) -> list[State]:
     return _states(pdf, lo, lo + int(single[0]) + 1) + _states(pdf, lo + int(single[-1]), hi)
 
 
-def _summaries(batches):
+_NAMES = ["kind", "table_name", "record_id", "utc_millis", "form", "n_readings", "normal", "chunk", "segment", "part", "pos", "source", "fa", "ta", "fb", "tb", "cost"]
+_LOCAL = (
+    "kind int, table_name string, record_id long, utc_millis long, form string, n_readings int, normal boolean, chunk int, segment int, "
+    "part int, pos int, source string, fa array<string>, ta array<long>, fb array<string>, tb array<long>, cost array<double>"
+)
+#: Kinds of rows: decided, waiting, and a summary of a chunk's end; parts of a segment: its head, its tail, all of it.
+DECIDED, WAITING, SUMMARY = 0, 1, 2
+HEAD, TAIL, WHOLE = 0, 1, 2
+
+
+def _local(batches):
     parts = [b for b in batches if len(b)]
     if not parts:
         return
-    pdf = pd.concat(parts, ignore_index=True)
-    segments = _sources(pdf)
-    rows = []
-    for k in sorted({0, len(segments) - 1}):
-        lo, hi = segments[k]
-        thin = _thin(pdf, lo, hi)
-        (fa, ta), (fb, tb) = thin[0], thin[-1]
-        m = _matrix(thin)
-        rows.append((int(pdf.chunk[0]), k, pdf.source[lo], fa, ta, fb, tb, m.ravel().tolist()))
-    yield pd.DataFrame(rows, columns=["chunk", "segment", "source", "fa", "ta", "fb", "tb", "cost"])
-
-
-_SUMMARY = "chunk int, segment int, source string, fa array<string>, ta array<long>, fb array<string>, tb array<long>, cost array<double>"
+    chunk = TaskContext.get().partitionId()
+    every = pd.concat(parts, ignore_index=True)
+    base = pd.DataFrame(
+        {
+            "kind": DECIDED,
+            "table_name": every.table_name,
+            "record_id": every.record_id,
+            "utc_millis": every.millis.astype("Int64"),
+            "form": every.form,
+            "n_readings": every.n_readings,
+            "normal": every.normal,
+        }
+    )
+    rows = np.flatnonzero(every.n_readings.to_numpy() > 0)
+    pdf = every.iloc[rows].reset_index(drop=True)
+    waits = np.zeros(len(every), bool)
+    extra = []
+    if len(pdf):
+        open_rows = ~pdf.more.isna().to_numpy()
+        form, millis = pdf.form.to_numpy(object).copy(), pdf.millis.to_numpy(np.int64).copy()
+        segments = _sources(pdf)
+        for k, (lo, hi) in enumerate(segments):
+            single = np.flatnonzero(~open_rows[lo:hi]) + lo
+            edge = k in (0, len(segments) - 1)
+            if edge:
+                thin = _thin(pdf, lo, hi)
+                (fa, ta), (fb, tb) = thin[0], thin[-1]
+                extra.append((SUMMARY, None, None, None, None, None, None, chunk, k, None, None, pdf.source[lo], fa, ta, fb, tb, _matrix(thin).ravel().tolist()))
+            if not open_rows[lo:hi].any():
+                continue
+            stretches = [(lo, hi, WHOLE)] if not len(single) else [(lo, single[0] + 1, HEAD), *[(a, b + 1, None) for a, b in zip(single, single[1:])], (single[-1], hi, TAIL)]
+            for a, z, part in stretches:
+                if not open_rows[a:z].any():
+                    continue
+                states = _states(pdf, a, z)
+                if edge and part is not None:
+                    for n, (fs, ts) in enumerate(states):
+                        r = a + n
+                        own = open_rows[r]
+                        if own:
+                            waits[rows[r]] = True
+                        extra.append((WAITING, pdf.table_name[r] if own else None, pdf.record_id[r], None, None, pdf.n_readings[r], pdf.normal[r], chunk, k, part, n, pdf.source[r], fs, ts, None, None, None))
+                    continue
+                for r, choice, (fs, ts) in zip(range(a, z), _decode(states, None, None), states):
+                    form[r], millis[r] = fs[choice], ts[choice]
+        base.loc[rows, "form"], base.loc[rows, "utc_millis"] = form, millis
+    base = base[~waits]
+    for c in _NAMES[7:]:
+        base[c] = None
+    yield base[_NAMES]
+    if extra:
+        yield pd.DataFrame(extra, columns=_NAMES)
 
 
 def _chain(rows: list) -> dict[tuple[int, str], tuple[int, int]]:
@@ -140,34 +190,15 @@ def _chain(rows: list) -> dict[tuple[int, str], tuple[int, int]]:
     return fixed
 
 
-def _decoder(fixed: dict, keep_normal: bool):
-    def run(batches):
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        open_rows = ~pdf.more.isna().to_numpy()
-        form, millis = pdf.form.to_numpy(object), pdf.millis.to_numpy(np.int64).copy()
-        if open_rows.any():
-            for lo, hi in _sources(pdf):
-                ends = fixed.get((int(pdf.chunk[0]), pdf.source[lo]), (None, None))
-                at = lo
-                while at < hi:
-                    if not open_rows[at]:
-                        at += 1
-                        continue
-                    a = at
-                    while at < hi and open_rows[at]:
-                        at += 1
-                    left, right = max(lo, a - 1), min(hi, at + 1)
-                    states = _states(pdf, left, right)
-                    path = _decode(states, ends[0] if left == lo else None, ends[1] if right == hi else None)
-                    for r, choice, (fs, ts) in zip(range(left, right), path, states):
-                        form[r], millis[r] = fs[choice], ts[choice]
-        pdf = pdf.assign(form=form, utc_millis=millis)
-        if not keep_normal:
-            pdf = pdf[~pdf.normal]
-        yield pdf[["table_name", "record_id", "utc_millis", "form", "n_readings"]]
+def _waiting(fixed: dict):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        part = int(pdf.part.iloc[0])
+        first, last = fixed.get((int(pdf.chunk.iloc[0]), pdf.source.iloc[0]), (None, None))
+        states = [(list(f), list(t)) for f, t in zip(pdf.fa, pdf.ta)]
+        path = _decode(states, first if part in (HEAD, WHOLE) else None, last if part in (TAIL, WHOLE) else None)
+        pdf = pdf.assign(form=[f[c] for (f, _), c in zip(states, path)], utc_millis=[t[c] for (_, t), c in zip(states, path)])
+        return pdf[pdf.table_name.notna()][["table_name", "record_id", "utc_millis", "form", "n_readings", "normal"]]
 
     return run
 
@@ -186,9 +217,11 @@ def normalise_timestamps(
     """
     z = zones.where("writer_host is not null").groupBy(F.col("writer_host").alias("source")).agg(F.min("zone_id").alias("host_zone"))
     rows = records.select("table_name", F.col("record_id").cast("long").alias("record_id"), "time_text", "source").join(z, "source", "left")
-    read = with_interpretations(rows, "time_text", "host_zone", "readings", day_first, fold)
-    read = read.select(
-        F.concat_ws("/", "table_name", F.coalesce("source", F.lit(""))).alias("source"),
+    rows = rows.withColumn("source", F.concat_ws("/", "table_name", F.coalesce("source", F.lit(""))))
+    # sorted as raw text, so that the bounds are sampled without parsing and each text is parsed once
+    ordered = rows.repartitionByRange("source", "record_id").sortWithinPartitions("source", "record_id", "time_text")
+    read = with_interpretations(ordered, "time_text", "host_zone", "readings", day_first, fold).select(
+        "source",
         "table_name",
         "record_id",
         F.size("readings").alias("n_readings"),
@@ -197,14 +230,11 @@ def normalise_timestamps(
         F.when(F.size("readings") > 1, F.col("readings")).alias("more"),
         is_normal(F.col("time_text")).alias("normal"),
     )
-    ordered = read.repartitionByRange("source", "record_id").sortWithinPartitions("source", "record_id", "millis", "form")
-    ordered = cut(ordered.withColumn("chunk", F.spark_partition_id()))
-    some = ordered.where("n_readings > 0")
-    fixed = _chain(some.mapInPandas(_summaries, _SUMMARY).collect())
-    chosen = some.mapInPandas(
-        _decoder(fixed, keep_normal), "table_name string, record_id long, utc_millis long, form string, n_readings int"
-    )
-    none = ordered.where("n_readings = 0").select(
-        "table_name", "record_id", F.lit(None).cast("long").alias("utc_millis"), F.lit(None).cast("string").alias("form"), "n_readings"
+    local = stored(read.mapInPandas(_local, _LOCAL))
+    fixed = _chain(local.where(F.col("kind") == SUMMARY).select("chunk", "segment", "source", "fa", "ta", "fb", "tb", "cost").collect())
+    out = ["table_name", "record_id", "utc_millis", "form", "n_readings", "normal"]
+    late = local.where(F.col("kind") == WAITING).groupBy("chunk", "segment", "part").applyInPandas(
+        _waiting(fixed), "table_name string, record_id long, utc_millis long, form string, n_readings int, normal boolean"
     )
-    return chosen.unionByName(none)
+    done = local.where(F.col("kind") == DECIDED).select(*out).unionByName(late)
+    return (done if keep_normal else done.where(~F.col("normal"))).drop("normal")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORED: list[str] = []
+
 
 def local_session(app: str = "weftline", cpus: str | int = 8, **conf: str) -> SparkSession:
     """A local session as used by tests and the bench; a cluster brings its own."""
@@ -56,5 +59,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, as a Parquet table in the shared folder: for results that are read more than once by
+    column or filter, where order and partitions do not matter. The folder lives as long as its owner keeps it;
+    :func:`discard_stored` removes those of this session."""
+    path = f"{shared_dir(df.sparkSession)}/weftline-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard_stored(spark: SparkSession) -> None:
+    """Remove the tables that :func:`stored` has written, once no result that reads them is needed."""
+    jvm = spark._jvm
+    while _STORED:
+        p = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bench_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
