@@ -10,4 +10,4 @@ QUERIES: dict = {
     "p4_normalised": time_queries.p4_normalised,
     "p4_open": time_queries.p4_open,
 }
-ORACLE_SQL: dict[str, str] = dict(core_queries.ORACLE_SQL)
+ORACLE_SQL: dict[str, str] = {**core_queries.ORACLE_SQL, "p4_found": time_queries.P4_FOUND_SQL}
