@@ -39,6 +39,8 @@ FORMS = {
     "name_day": (rf"^{_DAY}{_MONTH}\s+(\d{{1,2}}),?\s+(\d{{4}}),?\s+{_TIME}{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
 }
 EPOCH = r"^\d{10}(?:\d{3}){0,3}(?:\.\d+)?$"
+#: The usual form with its zone, which a plain cast reads.
+PLAIN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:Z|[+-](?:0\d|1[0-7]):[0-5]\d)$"
 #: The exact normal form.
 NORMAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 
@@ -100,12 +102,14 @@ def with_interpretations(
     half = F.lower(g(8))
     named = F.instr(F.lit(MONTHS), g(2))
     d = df.withColumn("_t_x", F.regexp_replace(F.col(text), r"^[\s\u00a0\u3000\ufeff]+|[\s\u00a0\u3000\ufeff]+$", ""))
-    d = d.withColumn("_t_p", _parts(F.col("_t_x"))).withColumn("_t_e", _epoch(F.col("_t_x")))
+    d = d.withColumn("_t_plain", F.col("_t_x").rlike(PLAIN))
+    d = d.withColumn("_t_p", F.when(~F.col("_t_plain"), _parts(F.col("_t_x")))).withColumn("_t_e", F.when(~F.col("_t_plain"), _epoch(F.col("_t_x"))))
     month = F.when(g(2).rlike("^[A-Z]"), F.when(named % 3 == 1, ((named + 2) / 3).cast("int"))).otherwise(g(2).try_cast("int"))
     d = d.select(
         *own,
         "_t_x",
         "_t_e",
+        F.when(F.col("_t_plain"), F.unix_millis(F.col("_t_x").try_cast("timestamp"))).alias("_t_cast"),
         g(0).alias("_t_form"),
         g(1).try_cast("int").alias("_t_y"),
         month.alias("_t_mo"),
@@ -144,7 +148,8 @@ def with_interpretations(
         read = F.when(swapped & (F.col("_t_mo") != F.col("_t_d")), F.array(*plain, *other)).otherwise(F.array(*plain))
     valid = F.filter(read, lambda r: r["millis"].isNotNull())
     value = (
-        F.when(F.col("_t_e").isNotNull(), F.array(F.struct(F.concat(F.lit("epoch"), F.length("_t_x")).alias("form"), F.col("_t_e").alias("millis"))))
+        F.when(F.col("_t_cast").isNotNull(), F.array(F.struct(F.lit("ymd/zone").alias("form"), F.col("_t_cast").alias("millis"))))
+        .when(F.col("_t_e").isNotNull(), F.array(F.struct(F.concat(F.lit("epoch"), F.length("_t_x")).alias("form"), F.col("_t_e").alias("millis"))))
         .when(F.col("_t_form").isNotNull(), valid)
         .otherwise(none)
     )

@@ -49,8 +49,9 @@ def greedy_fit(df: DataFrame, group: str, key: str, first: str, time: str, size:
     """Selected rows per group: those with ``first`` set before the others, each newest first; a row that does not fit
     the rest of the capacity is skipped and the next one tried.
 
-    Sequential within a group, whose rows hold a key, a flag and two numbers each. Since a row is taken only if it fits,
-    rows larger than the capacity can never be and are dropped before the shuffle.
+    Groups that fit as a whole keep all their rows and never leave the JVM. In the others the choice is sequential; their
+    rows hold a key, a flag and two numbers each. Rows larger than the capacity can never be taken and are dropped
+    before the shuffle. Null groups and sizes are left out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -63,7 +64,9 @@ def greedy_fit(df: DataFrame, group: str, key: str, first: str, time: str, size:
 
     d = df.select(group, key, F.coalesce(first, F.lit(False)).alias(first), time, size).where((F.col(size) <= capacity) & F.col(group).isNotNull())
     t = dict(d.dtypes)
-    return d.groupBy(group).applyInPandas(run, f"{group} {t[group]}, {key} {t[key]}, {size} {t[size]}")
+    full = d.groupBy(group).agg(F.sum(size).alias("_n")).where(F.col("_n") > capacity).select(group)
+    whole = d.join(full, group, "left_anti").select(group, key, size)
+    return whole.unionByName(d.join(full, group, "left_semi").groupBy(group).applyInPandas(run, f"{group} {t[group]}, {key} {t[key]}, {size} {t[size]}"))
 
 
 def clamp_summary(summary: str, decisions: list[str], next_steps: list[str], max_bytes: int, max_items: int = 20, max_chars: int = 4000) -> dict:
