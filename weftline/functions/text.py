@@ -29,6 +29,8 @@ CJK = r"㐀-鿿豈-﫿"
 PUNCT = r"!-/:-@\[-`{-~"
 WIDE = r"　-〿぀-ヿ㄀-ㄯ㐀-䶿一-鿿가-힯豈-﫿＀-￯"
 EXAM_CJK = r"⺀-鿿가-힯豈-﫿＀-￯"
+# Labels of the parts of an embedded text, tags of prompt blocks.
+KEYWORDS_LABEL, DECISIONS_LABEL = "關鍵字: ", "決策: "
 PROMPT_TAGS = r"(?i)<(/?)(prior_summary|transcript|observations)\s*>"
 
 
@@ -147,7 +149,7 @@ def summary_field(line: Column, field: str) -> Column:
 def embedding_text(summary: Column, keywords: Column, decisions: Column) -> Column:
     """Summary, then labelled lists, empty ones left out."""
     part = lambda label, c, sep: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, sep)))
-    return F.concat_ws("\n", summary, part("關鍵字: ", keywords, ", "), part("決策: ", decisions, "; "))
+    return F.concat_ws("\n", summary, part(KEYWORDS_LABEL, keywords, ", "), part(DECISIONS_LABEL, decisions, "; "))
 
 
 def content_hash(*parts: Column) -> Column:

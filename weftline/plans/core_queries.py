@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.vectors import norm, normalise
-from weftline.operators import browse, capture, mutate, quality, ranges, retrieval
+from weftline.operators import browse, capture, mutate, quality, ranges, retrieval, state
 from weftline.session import table
 from weftline.sources import jsonl
 
@@ -590,3 +590,45 @@ def merge_survivor(spark: SparkSession, d: str) -> DataFrame:
     rank = F.struct(-F.coalesce("linked", F.lit(0)), F.col("updated_at"), F.col("summary_id"))
     g = s.groupBy("session_id").agg(F.min(rank).alias("best"), F.count("*").alias("n")).where("n > 1")
     return g.select("session_id", F.col("best.summary_id").alias("survivor"), (F.col("n") - 1).alias("merged"))
+
+
+@query(f"""WITH s AS (SELECT transcript_path AS path, max(end_offset) AS c FROM transcript_chunks WHERE chunk_id % 3 = 0 GROUP BY 1),
+b AS (SELECT transcript_path AS path, max(b) AS m FROM ({BOUNDS}) WHERE transcript_path IS NOT NULL AND b IS NOT NULL GROUP BY 1)
+SELECT path, coalesce(c, m) AS start, m AS "end", c IS NULL AS baseline FROM b LEFT JOIN s USING (path) WHERE c IS NULL OR m > c""")
+def advance_checkpoints(spark: SparkSession, d: str) -> DataFrame:
+    done = table(spark, d, "transcript_chunks").where("chunk_id % 3 = 0")  # the part that an earlier run had captured
+    st = done.select(F.col("transcript_path").alias("path"), F.col("end_offset").alias("checkpoint"))
+    return state.advance_checkpoints(st, _bounds(spark, d).select(F.col("transcript_path").alias("path"), F.col("b").alias("boundary")))
+
+
+@query("""WITH e AS (SELECT session_id AS session, max(observed_at) AS last_event FROM observations WHERE session_id IS NOT NULL GROUP BY 1),
+c AS (SELECT DISTINCT session_id AS session FROM stop_sentinels WHERE session_id IS NOT NULL), p AS (SELECT session_id AS session, count(*) AS pending FROM pending_summaries WHERE session_id IS NOT NULL GROUP BY 1)
+SELECT session FROM e LEFT JOIN p USING (session) LEFT JOIN c USING (session) WHERE coalesce(pending, 0) = 0 AND (c.session IS NOT NULL OR epoch_us(TIMESTAMPTZ '2025-06-15 00:00:00+00') - epoch_us(last_event) >= 360 * 60000000)""")
+def finalise_due(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "observations").where("session_id is not null").groupBy(F.col("session_id").alias("session")).agg(F.max("observed_at").alias("last_event"))
+    c = table(spark, d, "stop_sentinels").where("session_id is not null").select(F.col("session_id").alias("session"), F.lit(True).alias("closed")).distinct()
+    p = table(spark, d, "pending_summaries").where("session_id is not null").groupBy(F.col("session_id").alias("session")).agg(F.count("*").alias("pending"))
+    s = e.join(c, "session", "left").join(p, "session", "left").withColumn("backfill", F.lit(False))
+    return state.finalise_due(s, F.lit("2025-06-15 00:00:00").cast("timestamp")).select("session")
+
+
+@query("""WITH c AS (SELECT session_id AS session, max_by(summary, summary_id) AS summary, count(*) AS n, min(summary_id) AS first_id FROM session_summaries WHERE session_id IS NOT NULL GROUP BY 1),
+w AS (SELECT session_id AS session, max_by(narrative, obs_id) AS summary, count(*) AS n, sum(discovery_tokens)::BIGINT AS t, string_agg(obs_id, ',' ORDER BY obs_id) AS ids FROM observations WHERE session_id IS NOT NULL GROUP BY 1)
+SELECT session, coalesce(w.summary, c.summary) AS summary, (coalesce(c.n, 0) + coalesce(w.n, 0))::BIGINT AS summarize_count, coalesce(w.t, 0)::BIGINT AS discovery_tokens, coalesce(ids, '') AS ids FROM c FULL JOIN w USING (session)""")
+def fold_rollups(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "session_summaries").where("session_id is not null")
+    cur = s.groupBy(F.col("session_id").alias("session")).agg(F.max_by("summary", "summary_id").alias("summary"), F.count("*").alias("summarize_count"))
+    cur = cur.withColumn("discovery_tokens", F.lit(0).cast("long")).withColumn("observation_ids", F.expr("cast(array() as array<bigint>)"))
+    o = table(spark, d, "observations").where("session_id is not null")
+    w = o.select(F.col("session_id").alias("session"), F.col("narrative").alias("summary"), "discovery_tokens", F.array("obs_id").alias("observation_ids"), F.col("obs_id").alias("end"))
+    r = state.fold_rollups(cur, w)
+    return r.select("session", "summary", "summarize_count", "discovery_tokens", F.array_join(F.col("observation_ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query("""WITH b AS (SELECT user_id, event_id, ts, CASE WHEN value >= 90 THEN 'high' WHEN value >= 70 THEN 'warn' ELSE 'ok' END AS band FROM events),
+l AS (SELECT *, lag(band) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM b) SELECT user_id, event_id, band FROM l WHERE band = 'warn' AND was IS DISTINCT FROM 'warn'""")
+def band_crossings(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.when(v >= 90, "high").when(v >= 70, "warn").otherwise("ok").alias("band"))
+    was = F.lag("band").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.withColumn("was", was).where((F.col("band") == "warn") & ~F.col("was").eqNullSafe(F.lit("warn"))).select("user_id", "event_id", "band")
