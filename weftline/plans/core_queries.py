@@ -603,7 +603,7 @@ def advance_checkpoints(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT session_id AS session, max(observed_at) AS last_event FROM observations WHERE session_id IS NOT NULL GROUP BY 1),
 c AS (SELECT DISTINCT session_id AS session FROM stop_sentinels WHERE session_id IS NOT NULL), p AS (SELECT session_id AS session, count(*) AS pending FROM pending_summaries WHERE session_id IS NOT NULL GROUP BY 1)
-SELECT session FROM e LEFT JOIN p USING (session) LEFT JOIN c USING (session) WHERE coalesce(pending, 0) = 0 AND (c.session IS NOT NULL OR epoch_us(TIMESTAMPTZ '2025-06-15 00:00:00+00') - epoch_us(last_event) >= 360 * 60000000)""")
+SELECT session FROM e LEFT JOIN p USING (session) LEFT JOIN c USING (session) WHERE coalesce(pending, 0) = 0 AND (c.session IS NOT NULL OR epoch_us(TIMESTAMPTZ '2025-06-15 00:00:00+00') - epoch_us(last_event) >= 21600000000)""")
 def finalise_due(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "observations").where("session_id is not null").groupBy(F.col("session_id").alias("session")).agg(F.max("observed_at").alias("last_event"))
     c = table(spark, d, "stop_sentinels").where("session_id is not null").select(F.col("session_id").alias("session"), F.lit(True).alias("closed")).distinct()
