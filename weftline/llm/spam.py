@@ -163,7 +163,17 @@ def flag_pages(texts: list[str], known: _Words | None = None) -> list[list[tuple
         np.maximum.at(fixed, where // 64, times)
         fixed /= count
     gap = _medians(*_gaps(ids, np.arange(n)), terms)
-    free = fixed < 0.7
+    joins = np.zeros(n, bool)
+    for w in JOINS:
+        for v in (w, w.upper(), w.title()):
+            if v in known.code:
+                joins |= codes == known.code[v]
+    # terms that nearly always stand before a function word belong to a form of words ("apply to")
+    formal = np.zeros(terms)
+    if n > 1:
+        before = strong[1:] & ~joins[1:] & (doc[1:] == doc[:-1])
+        formal = np.bincount(ids[:-1][before], minlength=terms) / count
+    free = (fixed < 0.7) & (formal < 0.8)
     recurs = (count >= 2) & (gap <= RECUR_GAP)
     close = (count >= 3) & (gap <= CLOSE_GAP) & free
     heavy = (count >= TERM_TIMES) & (gap <= TERM_GAP) & free
@@ -195,11 +205,6 @@ def flag_pages(texts: list[str], known: _Words | None = None) -> list[list[tuple
     own = np.maximum(per(content), 1)
     has_own = per(content) > 0
     no_strong = per(strong) == 0
-    joins = np.zeros(n, bool)
-    for w in JOINS:
-        for v in (w, w.upper(), w.title()):
-            if v in known.code:
-                joins |= codes == known.code[v]
     only_joins = per(strong & ~joins) == 0
     l_figure, l_regular, l_acf = per(figure) / some, per(regular) / some, per(acf) / some
     l_heavy = per(heavy[ids] & content) > 0
