@@ -234,6 +234,27 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert sorted((r.session_id, r.boundary) for r in spark.read.parquet(out).collect()) == rows
 
 
+def test_checkpoint_stream(spark, tmp_path):
+    src, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    os.makedirs(src)
+    seen = []
+    put = lambda name, rows: Path(src, name).write_text("\n".join(json.dumps({"transcript_path": p, "transcript_offset": o, "hwm_offset": h}) for p, o, h in rows))
+
+    def run():
+        q = stream.checkpoint_ranges(stream.event_stream(spark, src)).writeStream.outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True)
+        q = q.foreachBatch(lambda df, _: seen.extend(tuple(r) for r in df.collect())).start()
+        q.awaitTermination()
+
+    put("1.json", [("a", 10, None), ("a", 30, None), ("b", None, 5), (None, 3, None), ("c", -1, None)])
+    run()
+    assert sorted(seen) == [("a", 30, 30, True), ("b", 5, 5, True)]
+    put("2.json", [("a", 20, None), ("b", 9, 50)])
+    run()
+    put("3.json", [("a", 45, None), ("b", 9, None)])
+    run()
+    assert sorted(seen[2:]) == [("a", 30, 45, False), ("b", 5, 9, False)]
+
+
 def test_streaming_windows(spark, tmp_path):
     rows = [("s", "Bash", f"2025-01-01 0{h}:00:00") for h in (0, 1, 9)] + [("u", "Read", "2025-01-01 00:00:30")]
     spark.createDataFrame(rows, "session_id string, tool_name string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "e"))

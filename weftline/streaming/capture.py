@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from weftline.sources.jsonl import EVENT, boundary
 
@@ -22,6 +24,32 @@ def sessions_by_gap(events: DataFrame, time: str = "ts", late: str = "1 hour", g
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), "session_id").agg(F.count("*").alias("n"))
 
 
+def checkpoint_ranges(events: DataFrame) -> DataFrame:
+    """Ranges to capture as a stateful stream: (path, start, end, baseline), in update mode.
+
+    The state of a transcript is its checkpoint. The first sight of one only sets its baseline; after that a boundary
+    behind the checkpoint gives the range up to it and moves the checkpoint, and one before it gives nothing. Events
+    without a path or a boundary are left out.
+    """
+
+    def step(key, parts, state):
+        ends = [int(p.boundary.max()) for p in parts if len(p)]
+        if not ends:
+            return
+        end = max(ends)
+        (start,) = state.get if state.exists else (None,)
+        if start is not None and end <= start:
+            return
+        state.update((end,))
+        yield pd.DataFrame({"path": [key[0]], "start": [end if start is None else start], "end": [end], "baseline": [start is None]})
+
+    b = events.select("transcript_path", boundary(F.col("transcript_offset"), F.col("hwm_offset")).alias("boundary"))
+    b = b.where("transcript_path is not null and boundary is not null")
+    return b.groupBy("transcript_path").applyInPandasWithState(
+        step, "path string, start long, end long, baseline boolean", "checkpoint long", "update", GroupStateTimeout.NoTimeout
+    )
+
+
 def _write_once(target: str):
     """Each batch adds the events whose (path, offset) the table lacks. The batch id is a partition that is overwritten,
     so a batch that is run again after a failure replaces what it had written."""
