@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -41,7 +43,7 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"
+    archive = Path(_own_folder()) / "weftline.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
@@ -54,6 +56,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder() -> str:
+    """A temporary folder of the driver that goes with it."""
+    path = tempfile.mkdtemp(prefix="weftline-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; only where that is unset
     (tests, local mode) a temporary folder of this machine."""
@@ -64,7 +73,7 @@ def shared_dir(spark: SparkSession) -> str:
         if named is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="weftline-")
+            named = _own_folder()
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
