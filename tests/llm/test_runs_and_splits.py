@@ -101,7 +101,7 @@ def test_split_oversized_table(spark):
     items = spark.createDataFrame(
         [(1, "p", "word " * 50, 9), (2, "p", "tiny", 9), (3, None, "word " * 50, 9), (4, "q", "word " * 50, 9), (5, "p", None, 9), (6, "p", "", 9), (1, "p", "word " * 50, 9)],
         "chunk_id long, provider string, raw string, max_bytes int",
-    ).drop("max_bytes")
+    )
     limits = spark.createDataFrame([("p", 100, 10), ("p", 120, None), (None, 5, 1)], "provider string, max_bytes int, overlap_bytes int")
     got = split_oversized(items, limits).collect()
     assert {r.chunk_id for r in got} == {1}

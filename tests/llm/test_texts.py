@@ -109,7 +109,7 @@ def test_truncation(spark):
     extra = {1001: "The lock file moved the cold par", 1002: "The lock file kept the", 1003: "A stale worker kept an empty batch behind", 1004: "The lock file moved the cold partition after the restart…", 1005: "The lock file moved the cold par [cut]", 1006: "The lock file merged (3 ro", 1007: "A stale worker kept�"}
     fine = {2001: "The lock file moved the cold partition after the restart", 2002: "A stale worker merged an empty batch behind the proxy (3 rows)", 2003: "The lock file kept the public contract on a fresh checkout.  \n"}
     rows += [("t", k, None, v) for k, v in {**extra, **fine}.items()] + [("t", 3001, "free", None), ("t", 3002, "free", ""), ("t", 3003, "free", "  "), ("u", 1002, None, extra[1002])]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "table_name string, record_id long, source string, text string, body int").drop("body")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "table_name string, record_id long, source string, text string, body int")
     got = truncation.truncated(df).collect()
     cut = {(r.table_name, r.record_id) for r in got if r.is_cut}
     assert cut == {("t", k) for k in want | set(extra)} | {("u", 1002)}

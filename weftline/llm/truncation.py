@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from weftline.session import cut
 
 # What writers put after a break.
-MARKERS = r"(?:\s*(?:…|\.\.\.|\[(?:cut|truncated|snip|more|continued|\.\.\.|…)\]|\((?:cut|truncated|more|continued|cont\.|\.\.\.|…)\)|<(?:cut|truncated|more|snip)>|�))+\s*$"
+MARKERS = (
+    r"(?i)(?:\s*(?:…|\.\.\.|\[(?:[^\]\n]{0,24}\b(?:cut|truncated|snip|snipped|more|continued|shortened)\b[^\]\n]{0,24}|\.\.\.|…)\]"
+    r"|\((?:cut|truncated|more|continued|cont\.|to be continued|text truncated|\.\.\.|…)\)|<(?:cut|truncated|more|snip)>|&hellip;|�))+\s*$"
+)
 FINAL = r"(?:[.!?。！？][\"'”’」』)\]）]*|[)）\]`」』])$"
 
 #: A pile: at least so many different texts, and this share of the source's, within SLACK of the greatest length,
