@@ -54,6 +54,27 @@ def test_find_and_mask_tables(spark):
     assert pii.find_pii(empty, []).count() == 0 and pii.mask_pii(empty, GIVEN).count() == 0
 
 
+def test_every_text_with_an_item_passes_the_filter(spark):
+    names = ["Calwyn", "Aelova", "Brenwyn"]
+    family = ["Müller", "O'Brien", "O’Neil", "Éa", "Dor-Elm", "Smith", "de la Norr", "A. B. Smith", "A. van Elm", "A. B. C. von der O'Hara"]
+    texts = [f"met {g} {f} there" for g in names for f in family] + [f"{t} Zéphyrin{f}" for t in ("Mr", "Frau", "dr.", "Dr.") for f in (" A. B. Smith", " de Müller", " Xu-Lé")]
+    texts += ["Müll-straße 5", "Lan-weg 12b", "Königsallee ٣٤", "9B, Tamrin Hill St", "12 O'Hara-Lén Road", "１２ Tamrin Square"]
+    numbers = ["020 7946 0000", "+44 20 7946 0000", "00999 100 200 300", "1 (200) 555 0100", "(389)555-0167", "200.555.0100", "666-85-9497", "666 85 9497", "123456-12345", "12/345/67890", "A123456789", "QK 4093160", "٠٢٠ ٧٩٤٦ ٠٠٠٠"]
+    texts += [f"{before}{x}{after}" for x in numbers for before in ("", "电话", "tel ") for after in ("", "号")] + ["请写a@b.test", "a_b (at) host.test", "a [at] b [dot] test", "a\u00a0(at)\u00a0host.test"]
+    pattern = pii.name_pattern(GIVEN, ["ova"])
+    with_items = {x for x in texts if pii.find_items(x, pattern)}
+    for x in ("met Calwyn Müller there", "met Calwyn O'Brien there", "met Aelova A. B. Smith there", "Müll-straße 5", "电话020 7946 0000"):
+        assert x in with_items
+    df = spark.createDataFrame([("t", k, "f", 0, x) for k, x in enumerate(texts)], "table_name string, record_id long, field_name string, item_no int, text string")
+    passed = {r.text for r in df.where(pii.may_hold(df.text, GIVEN, ["ova"])).collect()}
+    assert with_items <= passed and not df.where(pii.may_hold(df.text, [], [])).where("text like 'met %'").count()
+    known = pii.name_pattern(GIVEN, [])
+    assert {texts[r.record_id] for r in pii.find_pii(df, GIVEN).collect()} == {x for x in texts if pii.find_items(x, known)}
+    masked = {r.text: r.masked for r in pii.mask_pii(df, GIVEN).collect()}
+    assert masked == {x: pii.mask(x, known, pii.DEMO_KEY) for x in texts}
+    assert pii.name_filter([], []) is None and pii.name_filter(["", "Calwyn"], []) == pii.name_filter([""], [])
+
+
 PROSE = ["The harbour board opened", "with ceremony the public baths", "for the benefit of the poor.", "A visiting lecturer spoke at", "length about the swing bridge", "and the matter then dropped."]
 PRICES = ["Beans, Hal .... 51s. 3d. to 25s. 8d.", "Hay, Orr .... 5s. 1d. to 8s. 7d.", "Wool, Kel .... 23s. 6d. to 38s. 1d."]
 SHIPS = ["Arr. Norodale, brig, from Heston, grain", "Sld. Marsow, barque, from Lanor, salt", "Off Zanri, barque, from Tamra, grain"]

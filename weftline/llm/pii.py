@@ -60,14 +60,24 @@ def _bounds(pattern: str) -> str:
 
 _EMAIL, _PHONE, _IDENTITY, _STREET = (re.compile(_bounds(p)) for p in (EMAIL, PHONE, IDENTITY, STREET))
 
-#: Texts without a hit of this hold no item; runs in the JVM before anything goes to Python.
-MAY_HOLD = (
-    r"@|[(\[]at[)\]]|\+[0-9]|\b0[0-9]{2,4}[-. ][0-9]{3}|[0-9]{3}\)? ?[-. ]?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}"
-    r"|[0-9]{6}-[0-9]{5}|[0-9]{2}/[0-9]{3}/[0-9]{5}|[A-Z][0-9]{9}|[A-Z]{2} ?[0-9]{7}"
-    rf"|[a-zß.](?:{GERMAN_STREETS}) [0-9]|[0-9][A-Za-z]?,? [A-Z]|[A-Z][a-z]+ (?:[A-Z]\.? )?(?:(?:{PARTICLES}) )*[A-Z][a-z]"
+_FAMILY = rf"(?:[A-Z]['’])?[A-Z][a-zà-ÿß]+(?:-[A-Z][a-zà-ÿß]+)*"
+_BETWEEN = rf"(?: [A-Z]\.)*(?: (?:{PARTICLES}))* "
+_TITLED = re.compile(
+    rf"(?<![{_ASCII}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? ([A-Z][a-zà-ÿß]+{_BETWEEN}[A-Z][a-zà-ÿß]+(?:-[A-Z][a-zà-ÿß]+)*)(?![{_ASCII}])"
 )
 
 
+def _wider(pattern: str) -> str:
+    """A pattern for the JVM that hits wherever ``pattern`` does: without its look-arounds, any separator for a
+    repeated one, and for a digit also a character that the JVM's older Unicode does not know yet."""
+    return re.sub(r"\(\?<?!\[[^\]]*\]\)", "", pattern).replace(r"\1", "[- ]").replace(r"\d", r"[\p{Nd}\p{Cn}]")
+
+
+#: Texts without a hit of this hold no item but persons' names without a title; runs in the JVM before anything goes
+#: to Python. It is made of the finder's own patterns; for emails it is the condition under which they are looked for.
+MAY_HOLD = "|".join((r"@|at[)\]]", *map(_wider, (IDENTITY, PHONE, STREET, _TITLED.pattern))))
+
+
 # ---- names ---------------------------------------------------------------------------------------------
 
 
@@ -87,23 +97,35 @@ def split_names(given: list[str], least: int = 4) -> tuple[list[str], list[str]]
     return sorted(stems), endings
 
 
+def _given_parts(given: list[str], endings: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """(names, stems, endings), longest first; a given name is one of the names or a stem with an ending."""
+    stems, own = split_names(given)
+    longest = lambda words: sorted(words, key=lambda w: (-len(w), w))
+    return longest(given), longest(stems), longest({*own, *endings})
+
+
 def name_pattern(given: list[str], endings: list[str]) -> re.Pattern | None:
     """A given name, initials, particles and a family name; None if no name is known."""
-    stems, own = split_names(given)
-    alt = [re.escape(g) for g in sorted(given, key=lambda g: (-len(g), g))]
-    if stems and (own or endings):
-        alt.append(f"(?:{'|'.join(map(re.escape, sorted(stems, key=lambda s: (-len(s), s))))})(?:{'|'.join(map(re.escape, sorted({*own, *endings}, key=lambda s: (-len(s), s))))})")
+    whole, stems, ends = _given_parts(given, endings)
+    alt = [re.escape(g) for g in whole]
+    if stems and ends:
+        alt.append(f"(?:{'|'.join(map(re.escape, stems))})(?:{'|'.join(map(re.escape, ends))})")
     if not alt:
         return None
-    return re.compile(
-        rf"(?<![{_ASCII}.@-])(?:{'|'.join(alt)})(?: [A-Z]\.)*(?: (?:{PARTICLES}))* (?!(?:{STREETS})(?![{_ASCII}]))"
-        rf"(?:[A-Z]['’])?[A-Z][a-zà-ÿß]+(?:-[A-Z][a-zà-ÿß]+)*(?![{_ASCII}@])"
-    )
+    return re.compile(rf"(?<![{_ASCII}.@-])(?:{'|'.join(alt)}){_BETWEEN}(?!(?:{STREETS})(?![{_ASCII}])){_FAMILY}(?![{_ASCII}@])")
 
 
-_TITLED = re.compile(
-    rf"(?<![{_ASCII}])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? ([A-Z][a-zà-ÿß]+(?: [A-Z]\.)*(?: (?:{PARTICLES}))* [A-Z][a-zà-ÿß]+(?:-[A-Z][a-zà-ÿß]+)*)(?![{_ASCII}])"
-)
+def name_filter(given: list[str], endings: list[str]) -> str | None:
+    """For the JVM: hits wherever ``name_pattern`` does. A given name is any word of the letters of the known ones
+    that begins with the first letter of one."""
+    whole, stems, ends = _given_parts(given, endings)
+    if not all(whole):  # an empty name stands before every family name
+        return _BETWEEN + _FAMILY
+    if not whole:
+        return None
+    letters = lambda words: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(set("".join(words)))) + "]"
+    longest = max(map(len, (*whole, *(stems[:1] and ends and [stems[0] + ends[0]]))))
+    return f"{letters(w[:1] for w in (*whole, *stems))}{letters((*whole, *stems, *ends))}{{0,{longest}}}{_BETWEEN}{_FAMILY}"
 
 
 def learn_endings(texts: DataFrame, text: str, given: list[str], least_stems: int = 5) -> list[str]:
@@ -220,8 +242,10 @@ def mask(text: str, names: re.Pattern | None, key: str) -> str:
 _ITEMS = "table_name string, record_id long, field_name string, item_no int, pii_type string, char_start int, char_end int, pseudonym string"
 
 
-def may_hold(text: Column) -> Column:
-    return text.rlike(MAY_HOLD)
+def may_hold(text: Column, given: list[str], endings: list[str]) -> Column:
+    """Whether ``find_items`` can find anything; true for every text in which it does."""
+    names = name_filter(given, endings)
+    return text.rlike(f"{MAY_HOLD}|{names}" if names else MAY_HOLD)
 
 
 def find_pii(texts: DataFrame, given: list[str], key: str = DEMO_KEY) -> DataFrame:
@@ -244,7 +268,7 @@ def find_pii(texts: DataFrame, given: list[str], key: str = DEMO_KEY) -> DataFra
             yield pd.DataFrame(rows, columns=["table_name", "record_id", "field_name", "item_no", "pii_type", "char_start", "char_end", "pseudonym"])
 
     some = texts.select("table_name", F.col("record_id").cast("long").alias("record_id"), "field_name", F.col("item_no").cast("int").alias("item_no"), "text")
-    return some.where(may_hold(F.col("text"))).mapInPandas(run, _ITEMS)
+    return some.where(may_hold(F.col("text"), given, endings)).mapInPandas(run, _ITEMS)
 
 
 def mask_pii(texts: DataFrame, given: list[str], key: str = DEMO_KEY) -> DataFrame:
@@ -257,5 +281,5 @@ def mask_pii(texts: DataFrame, given: list[str], key: str = DEMO_KEY) -> DataFra
         names = name_pattern(given, endings)
         return s.map(lambda x: None if x is None else mask(x, names, key))
 
-    touched = masked(F.when(may_hold(F.col("text")), F.col("text")))
+    touched = masked(F.when(may_hold(F.col("text"), given, endings), F.col("text")))
     return texts.withColumn("masked", F.coalesce(touched, F.col("text")))
