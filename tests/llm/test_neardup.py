@@ -60,6 +60,19 @@ def test_large_group_of_copies_is_a_star(spark):
     assert len(full) == 60 * 59 // 2 + 60
 
 
+def test_large_classes_and_their_links_give_all_pairs(spark):
+    rnd = random.Random(8)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = []
+    for k in range(1, 81):  # two linked classes of 40 records each, of reordered and repeated words
+        w = words if k % 2 else [*words, "lambda"]
+        rows.append((k, " ".join(rnd.sample(w, len(w)) + rnd.choices(w, k=k % 3)), None, None))
+    rows.append((100, "another text", None, None))
+    links, members = near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA))
+    got = [(r.id_a, r.id_b) for r in near_duplicate_pairs(links, members).collect()]
+    assert len(got) == len(set(got)) == 80 * 79 // 2 and set(got) == brute(rows, 0.7)
+
+
 def test_empty_and_wordless(spark):
     for rows in ([], [(1, None, None, None, 1, "x"), (None, "a", "b", [], 1, "x")]):
         links, members = near_duplicates(spark.createDataFrame(rows, SCHEMA))

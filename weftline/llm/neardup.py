@@ -27,8 +27,6 @@ from weftline.session import cut
 SIG_BITS, WORDS, THREE_WORDS, FOUR_WORDS = 256, 4, 34, 60
 #: Rows of a tile and of a strip of it that is compared at once.
 TILE_MIN, TILE_MAX, STRIP, WIDTH = 16_384, 262_144, 16, 4096
-#: Classes of copies up to this size are written out as all their pairs, larger ones as a star.
-FULL_COPIES = 32
 
 
 def word_sets(df: DataFrame, id_col: str, text: list[str], arrays: list[str]) -> DataFrame:
@@ -212,28 +210,32 @@ def near_duplicates(
     return links, members
 
 
-def near_duplicate_pairs(links: DataFrame, members: DataFrame, full_copies: int = FULL_COPIES) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: links between records.
+def near_duplicate_pairs(links: DataFrame, members: DataFrame, full_copies: int | None = None) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of records of one class or of two linked classes.
 
-    Classes of at most ``full_copies`` equal records are written out in full, both within the class and
-    across links; of larger classes the smallest id stands for all (with one row to each copy), so a
-    large group of copies gives as many rows as it has records. No link between different texts is lost.
+    A class of k records gives k (k - 1) / 2 pairs, and two linked ones the product of their sizes. With
+    ``full_copies``, a class of more records is shortened: its smallest id stands for all in links to other
+    classes, and has one row with each other record of the class. The members of a class may differ in the
+    order or repetition of words, so pairs of different texts are left out then as well.
     """
-    size = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    m = members.join(size, "rep")
-    small = m.where(F.col("copies") <= full_copies)
-    speak = m.where((F.col("copies") <= full_copies) | (F.col("id") == F.col("rep"))).select("id", "rep")
+    m = members.select("id", "rep")
+    star = None
+    if full_copies is not None:
+        sized = members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep")
+        small = F.col("copies") <= full_copies
+        m = sized.where(small).select("id", "rep")
+        star = sized.where(~small & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("p"), F.col("id").alias("q"))
+    speak = m if star is None else sized.where(small | (F.col("id") == F.col("rep"))).select("id", "rep")
     linked = links.select("a", "b").join(
         speak.select(F.col("id").alias("p"), F.col("rep").alias("a")), "a"
     ).join(speak.select(F.col("id").alias("q"), F.col("rep").alias("b")), "b").select("p", "q")
-    twins = small.where("copies > 1").select("id", "rep")
-    within = twins.select(F.col("id").alias("p"), "rep").join(twins.select(F.col("id").alias("q"), "rep"), "rep").where(
+    within = m.select(F.col("id").alias("p"), "rep").join(m.select(F.col("id").alias("q"), "rep"), "rep").where(
         "p < q"
     ).select("p", "q")
-    star = m.where((F.col("copies") > full_copies) & (F.col("id") != F.col("rep"))).select(
-        F.col("rep").alias("p"), F.col("id").alias("q")
-    )
-    return linked.union(within).union(star).select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
+    pairs = linked.union(within)
+    if star is not None:
+        pairs = pairs.union(star)
+    return pairs.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
 
 
 def near_duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
