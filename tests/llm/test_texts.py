@@ -138,3 +138,32 @@ def test_truncation(spark):
     rep = {r.source: r for r in truncation.truncation_report(truncation.truncated(df)).collect()}
     assert rep["limited"].limit_at == 120 and rep["free"].limit_at is None and rep["free"].cut_texts == 0
     assert truncation.truncated(df.limit(0)).count() == 0
+
+
+def test_limits_below_the_longest_text(spark):
+    rnd = random.Random(9)
+    words = [a + b for a in ("bar", "cor", "del", "fin", "gal", "hom") for b in ("ane", "ist", "ow", "ure", "ling", "et")]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n)) + "."
+    rows, k = [], 0
+    for table, limit in (("t", 150), ("u", 420)):  # each table has its own limit
+        for _ in range(150):
+            k += 1
+            rows.append((table, k, "two", text(rnd.randint(5, 100))[:limit].rstrip()))
+    for _ in range(150):
+        k += 1
+        rows.append(("t", k, "outlier", text(rnd.randint(5, 60))[:200].rstrip()))
+    rows.append(("t", 9001, "outlier", text(90)))  # an older writer had no limit
+    rows += [("t", 5000 + j, "notes", f"Worker {100 + j} was restarted after the update of host {100 + j}") for j in range(60)] + [("t", 6000 + j, "notes", text(rnd.randint(5, 100))) for j in range(90)]
+    df = spark.createDataFrame(rows, "table_name string, record_id long, source string, text string")
+    found = truncation.truncated(df).cache()
+    got = {r.record_id: r for r in found.collect()}
+    for table, n, source, x in rows:
+        full = {("t", "two"): 150, ("u", "two"): 420, ("t", "outlier"): 200}.get((table, source))
+        if full and len(x) == full and not x.endswith("."):
+            assert got[n].at_limit and got[n].is_cut, (table, n, source)
+        if source == "notes" or n == 9001:
+            assert not got[n].at_limit
+    rep = {r.source: r for r in truncation.truncation_report(found).collect()}
+    assert {150, 420} <= {x.limit_at for x in rep["two"].limits} and 200 in {x.limit_at for x in rep["outlier"].limits}
+    assert rep["notes"].limits == [] and rep["notes"].limit_at is None
+    found.unpersist()

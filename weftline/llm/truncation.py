@@ -1,8 +1,8 @@
 """Problem 2: texts cut off by field limits or broken transfers.
 
 Two kinds of evidence are joined. Lengths: every text is measured in characters, UTF-8 bytes, UTF-16 units and
-after entity escaping, JSON escaping and newline conversion; grouped by source and measure, a hidden storage limit
-shows as a pile of texts at the greatest length. Endings: whether the last words can end a sentence is read off all
+after entity escaping, JSON escaping and newline conversion; grouped by source, table and measure, a hidden storage
+limit shows as a pile of texts at one length, the greatest or another. Endings: whether the last words can end a sentence is read off all
 texts, by how often the same last three, two or one words (Chinese: four, three, two characters) stand before a
 mark and how often they go on.
 """
@@ -25,8 +25,8 @@ MARKERS = (
 )
 FINAL = r"(?:[.!?。！？][\"'”’」』)\]）]*|[)）\]`」』])$"
 
-#: A pile: at least so many different texts, and this share of the source's, within SLACK of the greatest length,
-#: and so many times as dense as the lengths below it.
+#: A pile: at least so many different texts, and this share of the source's, within SLACK below a length, and so many
+#: times as dense as the lengths below it and those above it.
 PILE_TEXTS, PILE_SHARE, PILE_DENSITY, SLACK, BELOW = 4, 0.005, 5, 3, 40
 #: Least share of the occurrences of an ending that stand before a mark.
 CAN_END = 0.08
@@ -54,26 +54,31 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def hidden_limits(texts: DataFrame, source: str = "source", body: str = "body") -> DataFrame:
-    """(source, measure, limit_at, texts, piled) for every source whose longest texts pile up at one length; of
-    several measures the one with the largest pile. Copies of a text count once. A source without a pile has no row."""
-    m = measures(F.col(body))
-    each = texts.select(
-        source, F.xxhash64(body).alias("h"), F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.lit(i).alias("rank"), v.cast("int").alias("len")) for i, (k, v) in enumerate(m.items())])).alias("m")
-    ).select(source, "h", "m.*")
-    per = each.distinct().groupBy(source, "measure", "rank", "len").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(source, "measure")  # as many rows as there are different lengths
-    per = per.withColumn("top", F.max("len").over(w))
-    piles = per.groupBy(source, "measure", "rank", "top").agg(
-        F.sum("n").alias("texts"),
-        F.sum(F.when(F.col("len") >= F.col("top") - SLACK, F.col("n")).otherwise(0)).alias("piled"),
-        F.sum(F.when(F.col("len").between(F.col("top") - SLACK - BELOW, F.col("top") - SLACK - 1), F.col("n")).otherwise(0)).alias("below"),
-    )
-    real = piles.where(
-        (F.col("piled") >= PILE_TEXTS) & (F.col("piled") >= PILE_SHARE * F.col("texts")) & (F.col("piled") * BELOW >= PILE_DENSITY * (SLACK + 1) * F.col("below"))
-    )
-    best = Window.partitionBy(source).orderBy(F.desc("piled"), "rank")
-    return real.withColumn("k", F.row_number().over(best)).where("k = 1").select(source, "measure", F.col("top").alias("limit_at"), "texts", "piled")
+def hidden_limits(texts: DataFrame, source: str = "source", body: str = "body", part: str = "table_name") -> DataFrame:
+    """(source, part, measure, limit_at, top, texts, piled): all lengths at which texts of a source pile up, in both
+    tables together (part is empty) and in each table. Copies of a text count once; a source without a pile has no row.
+
+    At the greatest length of the tables together (top) all texts count, and of several measures the one with the
+    largest pile is taken. At any other length only texts without a final mark count, and those of one length that
+    end alike but for numbers count once: notes made after one pattern make no limit."""
+    m = measures(F.col("b"))
+    lens = F.array(*[F.struct(F.lit(k).alias("measure"), F.lit(i).alias("rank"), v.cast("int").alias("len")) for i, (k, v) in enumerate(m.items())])
+    different = texts.groupBy(source, F.xxhash64(body).alias("h")).agg(F.collect_set(part).alias("parts"), F.min(body).alias("b"))
+    tail = F.when(~F.col("b").rlike(FINAL), F.xxhash64(F.right(F.regexp_replace("b", r"[0-9]+", "0"), F.lit(12))))
+    each = different.select(source, F.concat(F.array(F.lit("")), "parts").alias("parts"), tail.alias("tail"), F.explode(lens).alias("m"))
+    each = each.select(source, F.explode("parts").alias("part"), "tail", "m.*")
+    per = each.groupBy(source, "part", "measure", "rank", "len").agg(F.count("*").alias("n"), F.count_distinct("tail").alias("o"))
+    w = Window.partitionBy(source, "part", "measure")  # as many rows as there are different lengths
+    near = lambda c, a, z: F.coalesce(F.sum(c).over(w.orderBy("len").rangeBetween(a, z)), F.lit(0))
+    top = (F.col("part") == "") & (F.col("len") == F.max("len").over(w))
+    per = per.withColumn("texts", F.sum("n").over(w)).withColumn("top", top)
+    for c in "no":
+        per = per.withColumn(f"piled_{c}", near(c, -SLACK, 0)).withColumn(f"below_{c}", near(c, -SLACK - BELOW, -SLACK - 1)).withColumn(f"above_{c}", near(c, 1, BELOW))
+    pile = lambda c: (F.col(f"piled_{c}") >= PILE_TEXTS) & (F.col(f"piled_{c}") >= PILE_SHARE * F.col("texts")) & (F.col(f"piled_{c}") * BELOW >= PILE_DENSITY * (SLACK + 1) * F.greatest(f"below_{c}", f"above_{c}"))
+    out = [source, "part", "measure", F.col("len").alias("limit_at"), "top", "texts"]
+    best = Window.partitionBy(source).orderBy(F.desc("piled_n"), "rank")
+    first = per.where(F.col("top") & pile("n")).withColumn("k", F.row_number().over(best)).where("k = 1").select(*out, F.col("piled_n").alias("piled"))
+    return first.unionByName(per.where(~F.col("top") & pile("o")).select(*out, F.col("piled_o").alias("piled")))
 
 
 # ---- endings -------------------------------------------------------------------------------------------------
@@ -169,7 +174,7 @@ def truncated(texts: DataFrame) -> DataFrame:
     is_cut, and the evidence: marker, at_limit, measure, limit_at, can_end.
 
     A text is cut if it does not end on a final mark or closing bracket and (a) a marker of a break follows, or (b) its
-    length is its source's hidden limit, or (c) its ending cannot end a sentence: an open bracket, a comma, an unfinished
+    length is a hidden limit of its source, or (c) its ending cannot end a sentence: an open bracket, a comma, an unfinished
     word or path, or words that go on wherever else they occur. Null, empty and blank texts give no row. Repeated rows
     are judged each for itself (their ids may repeat too). A null source is a source of its own. An empty table gives
     an empty result.
@@ -181,10 +186,25 @@ def truncated(texts: DataFrame) -> DataFrame:
     t = t.withColumn("marker", F.char_length("stripped") < F.char_length(F.rtrim("text")))
     t = t.withColumn("broken", F.col("text").rlike(r"�\W*$")).withColumn("body", F.regexp_replace("stripped", r"\s+$", ""))
     t = cut(t.where("body <> ''").drop("stripped"))
-    limits = hidden_limits(t)
+    limit = F.struct(~F.col("top"), -F.col("piled"), *[F.col(c) for c in ("part", "measure", "limit_at", "top")])
+    of_source = lambda df, x: df.groupBy("source").agg(F.sort_array(F.collect_list(x)).alias("limits"))
     m = F.create_map(*[x for k, v in measures(F.col("body")).items() for x in (F.lit(k), v.cast("int"))])
-    t2 = t.join(limits.select("source", "measure", "limit_at"), "source", "left")
-    t2 = t2.withColumn("at_limit", F.coalesce(F.try_element_at(m, F.col("measure")) >= F.col("limit_at") - SLACK, F.lit(False)))
+    t2 = t.withColumn("lengths", m)
+
+    def reached(x: Column) -> Column:
+        length, here = F.try_element_at("lengths", x["measure"]), (x["part"] == "") | (x["part"] == F.col("table_name"))
+        return here & (length >= x["limit_at"] - SLACK) & (x["top"] | (length <= x["limit_at"]))
+
+    # One pile shows in several measures and at lengths close by: a limit must have texts that no larger pile has.
+    hits = F.filter("limits", reached)
+    every = t2.where(~F.col("body").rlike(FINAL)).join(of_source(hidden_limits(t), limit), "source")
+    every = every.select("source", F.xxhash64("body").alias("h"), F.posexplode(hits).alias("k", "x"))
+    own = every.groupBy("source", "x").agg(F.count_distinct("h").alias("n"), F.count_distinct(F.when(F.col("k") == 0, F.col("h"))).alias("own"))
+    own = own.where(F.col("x.top") | (F.col("own") >= PILE_TEXTS) & (F.col("own") * 2 >= F.col("n")))
+    t2 = t2.join(of_source(own, F.col("x")), "source", "left")
+    t2 = t2.withColumn("hit", F.get(hits, F.lit(0))).withColumn("at_limit", F.col("hit").isNotNull())
+    shown = F.coalesce("hit", F.get("limits", F.lit(0)))
+    t2 = t2.withColumn("measure", shown["measure"]).withColumn("limit_at", shown["limit_at"])
     path = r"(?:^|\s)[\w\-]+(?:/[\w\-]+)+\.?$"
     final = F.col("body").rlike(FINAL) & ~F.col("body").rlike(path)
     opened = F.col("body").rlike(r"[(（\[][^)）\]\n]{0,60}$") | F.col("body").rlike(r"(?:^|[^`])`[^`\n]{1,60}$") & (F.regexp_count("body", F.lit("`")) % 2 == 1)
@@ -220,8 +240,10 @@ def truncated(texts: DataFrame) -> DataFrame:
 
 
 def truncation_report(found: DataFrame) -> DataFrame:
-    """Per source: texts, cut texts, their share, and the hidden limit if the source has one."""
-    return found.groupBy("source").agg(
+    """Per source: texts, cut texts, their share, the greatest hidden limit if the source has one, and all its limits."""
+    limit = F.struct("limit_at", "measure")
+    r = found.groupBy("source").agg(
         F.count("*").alias("texts"), F.count_if("is_cut").alias("cut_texts"), F.round(F.avg(F.col("is_cut").cast("double")), 6).alias("cut_share"),
-        F.max("measure").alias("measure"), F.max("limit_at").alias("limit_at"),
+        F.max(F.when(F.col("limit_at").isNotNull(), limit)).alias("m"), F.sort_array(F.collect_set(F.when(F.col("at_limit"), limit))).alias("limits"),
     )
+    return r.select("source", "texts", "cut_texts", "cut_share", "m.measure", "m.limit_at", "limits")
