@@ -83,16 +83,34 @@ def _given(spark: SparkSession, sf_dir: str) -> list[str]:
     return sorted({r[0] for r in table(spark, sf_dir, "given_names").where("given_name is not null").collect()})
 
 
+#: The key of the reports over invented tables; real texts need a secret one.
+TABLES_KEY = "key of the test tables"
+
+
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(personal_texts(spark, sf_dir), _given(spark, sf_dir))
+    return pii.find_pii(personal_texts(spark, sf_dir), _given(spark, sf_dir), TABLES_KEY).drop("linked")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_items(spark, sf_dir).select("table_name", "record_id", "field_name", "item_no", "pii_type", "char_start")
+    items = p6_items(spark, sf_dir).where("pii_type <> 'birth_date'")  # a type that the problem does not list
+    return items.select("table_name", "record_id", "field_name", "item_no", "pii_type", "char_start")
 
 
 def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.mask_pii(personal_texts(spark, sf_dir), _given(spark, sf_dir)).drop("text")
+    return pii.mask_pii(personal_texts(spark, sf_dir), _given(spark, sf_dir), TABLES_KEY).drop("text")
+
+
+def p6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule, violations): equal values have one pseudonym, different ones two, and what is masked is what is found."""
+    texts, given = personal_texts(spark, sf_dir), _given(spark, sf_dir)
+    items = cut(pii.find_pii(texts, given, TABLES_KEY))
+    bare = items.select("pii_type", "linked", F.regexp_replace("pseudonym", "[^0-9A-Za-z]", "").alias("p")).distinct()
+    clash = lambda by, rule: bare.groupBy("pii_type", by).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    key = ["table_name", "record_id", "field_name", "item_no"]
+    found = items.groupBy(*key).agg(F.count("*").alias("found"))
+    left = pii.mask_pii(texts, given, TABLES_KEY).select(*key, F.regexp_count("masked", F.lit("<(?:email|phone|identity_number|birth_date|street_address|person_name):")).alias("left")).where("left > 0")
+    same = left.groupBy(*key).agg(F.sum("left").alias("left")).join(found, key, "full_outer").where("not left <=> found")
+    return clash("linked", "one value, two pseudonyms").unionByName(clash("p", "two values, one pseudonym")).unionByName(same.agg(F.count("*").alias("violations")).select(F.lit("found, not masked").alias("rule"), "violations"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +129,7 @@ def _document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_document_tokens(spark, sf_dir), table(spark, sf_dir, "pack_capacity"))
+    return packing.pack(_document_tokens(spark, sf_dir), table(spark, sf_dir, "pack_capacity"), spread=packing.SOURCE_SPREAD)
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_items": p6_items,
     "p6_masked": p6_masked,
+    "p6_rules": p6_rules,
     "p7_pack": p7_pack,
     "p7_report": p7_report,
     "p8_mix": p8_mix,
