@@ -35,7 +35,10 @@ JOINS = frozenset(("in", "at", "en", "aus"))
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "f": "s", "c": "e", "q": "g", "a": "o", "u": "n", "h": "b"})
 
 _WORD = re.compile(r"[^\W_]+")
-_LINK = re.compile(r"\w{3,5}\s?[:;]\s?//|www\s?[.,]|\w[\w-]*\.(?:\w[\w-]*\.)*(?:co|com|net|org|invalid|inval\w+|exa\w+|[tf]est)\b(?!\.\s)|\.php|\w+\.[\w-]+\.\w{3,}|[?&]?\bid=\d", re.I)
+# Endings of host names; those of two letters that are words as well need a hyphen, a path or a line end.
+_ENDINGS = "com|net|org|info|biz|edu|gov|mil|name|shop|store|online|site|web|app|dev|co|io|tv|eu|uk|fr|nl|pl|cz|dk|se|ru|cn|jp|br|mx|invalid|example|test"
+_HOST = rf"[a-z0-9]+(?:-[a-z0-9]+)*(?:\.[a-z0-9]+(?:-[a-z0-9]+)*)*\.(?:{_ENDINGS})\b(?!\.\s)|[a-z0-9]+(?:-[a-z0-9]+)+\.[a-z]{{2}}(?![^\W_]|\.\w)|\b[a-z0-9-]{{2,}}\.[a-z]{{2,3}}/\w"
+_LINK = re.compile(_HOST + r"|\w{3,5}\s?[:;]\s?//|www\s?[.,]|\w[\w-]*\.(?:\w[\w-]*\.)*(?:co|com|net|org|invalid|inval\w+|exa\w+|[tf]est)\b(?!\.\s)|\.php|\w+\.[\w-]+\.\w{3,}|[?&]?\bid=\d", re.I)
 _PATH_END = re.compile(r"[a-z]/\d|/\s*$|[-\w]+/[-\w]+/|[-a-z]+/[-a-z]+-")
 _MENU = re.compile(r"\s(?:>+|»|›|→|::|\||/|·|•|\*|~|=>|->|\\)(?=\s|$)")
 _TAG = re.compile(r"(?:^|[\s,;\]])(?:[#+@*]|ta[gq]:)[^\W\d]\w*|\[\s?[^\W\d][\w -]*\]", re.I)
@@ -159,8 +162,9 @@ def flag_pages(texts: list[str], known: _Words | None = None) -> list[list[tuple
     # share of a term's occurrences that stand at its usual place in the line
     fixed = np.zeros(terms)
     if n:
-        where, times = np.unique(ids * 64 + np.minimum(place, 63), return_counts=True)
-        np.maximum.at(fixed, where // 64, times)
+        wide = int(place.max()) + 1
+        where, times = np.unique(ids * wide + place, return_counts=True)
+        np.maximum.at(fixed, where // wide, times)
         fixed /= count
     gap = _medians(*_gaps(ids, np.arange(n)), terms)
     joins = np.zeros(n, bool)
