@@ -26,6 +26,27 @@ def test_best_fit_respects_capacity_and_conflicts():
     assert len(set(best_fit([10] * 100, ["a"] * 100, [7] * 100, 100))) == 10
 
 
+def test_sources_are_spread_over_the_containers():
+    rnd = random.Random(3)
+    sizes = sorted((rnd.randint(1, 40) for _ in range(6000)), reverse=True)
+    sources = [rnd.choice(["a", "a", "a", "b", "c", None]) for _ in sizes]
+    fewest, n = -(-sum(sizes) // 200), Counter(sources)
+
+    def beyond(spread):
+        box = best_fit(sizes, sources, [None] * len(sizes), 200, spread=spread)
+        load, held = Counter(), Counter()
+        for b, s, src in zip(box, sizes, sources):
+            load[b] += s
+            held[b, src] += src is not None
+        assert max(load.values()) <= 200 and len(load) <= 1.03 * fewest
+        return sum(max(0, k - max(1, -(-1.5 * n[src] // fewest))) for (_, src), k in held.items() if src)
+
+    assert beyond(1.5) < 0.6 * beyond(None)
+    # a source that stands apart stays so, whatever it costs
+    box = best_fit([10] * 30, ["x"] * 10 + ["y"] * 20, [None] * 30, 100, frozenset("x"), spread=2.0)
+    assert len(set(box[:10])) == 10
+
+
 ITEMS = "doc_id long, source string, cluster long, n_tokens long, capacity int, size int"
 
 
@@ -112,6 +133,16 @@ def test_heavier_documents_are_chosen_more_often(spark):
     assert n[0] + n[1] == 1000 and 2.0 < n[0] / n[1] < 4.0
 
 
+def test_weights_of_any_scale_count(spark):
+    t = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    base = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_tokens"), F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("weight"))
+    chosen = [sorted(r.doc_id for r in mix(base.withColumn("weight", F.col("weight") * scale), t, total_tokens=1000).collect()) for scale in (1.0, 2.0**-14, 2.0**20)]
+    assert chosen[0] == chosen[1] == chosen[2] and 2.0 < sum(x % 2 == 0 for x in chosen[0]) / sum(x % 2 for x in chosen[0]) < 4.5
+    odd = base.withColumn("weight", F.when(F.col("doc_id") % 4 == 0, float("nan")).when(F.col("doc_id") % 4 == 1, float("inf")).when(F.col("doc_id") % 4 == 2, -1.0))
+    n = Counter(r.doc_id % 4 for r in mix(odd, t, total_tokens=1500).collect())
+    assert n[1] == 1000 and sum(n.values()) == 1500
+
+
 def test_mix_of_nothing(spark):
     t = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
     empty = spark.createDataFrame([], DOCS)

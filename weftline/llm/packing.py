@@ -9,6 +9,7 @@ to sharding is below capacity / shard size.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
@@ -17,39 +18,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Tokens a shard holds at most, about: bounds the work and memory of one task.
-SHARD_TOKENS = 8_000_000
+#: Tokens and items a shard holds at most, about: bound the work and memory of one task.
+SHARD_TOKENS, SHARD_ITEMS = 8_000_000, 50_000
+#: A container takes at most so many times the documents of a source that an even spread over all containers gives it.
+SOURCE_SPREAD = 2.0
+#: Share of containers that may be opened to keep to that.
+SOURCE_ROOM = 0.005
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, apart: frozenset = frozenset()) -> list[int]:
+def best_fit(
+    sizes: list[int], sources: list, clusters: list, capacity: int, apart: frozenset = frozenset(), spread: float | None = None
+) -> list[int]:
     """Container number per item; sizes are in 1..capacity and come in falling order.
 
     Members of one duplicate cluster share no container, unless a cluster has more members than the fewest
     containers that the items need: then each container takes at most the quota that spreads them evenly.
-    Documents of a source in ``apart`` share no container with one another.
+    Documents of a source in ``apart`` share no container with one another. With ``spread``, a container takes of every
+    other source at most ``spread`` times the documents that an even spread over the fewest containers gives it, at
+    least one; null sources are free. This rule alone opens no more than SOURCE_ROOM of the fewest containers beyond
+    them: after that, a document that fits only where its source is at its quota goes into the tightest of those.
     """
     fewest = max(1, -(-sum(sizes) // capacity))
+    most = math.ceil(fewest * (1 + SOURCE_ROOM))
     members = Counter(clusters)
     bit = {c: 1 << k for k, c in enumerate(c for c, n in members.items() if n > 1 and c is not None)}
     quota = {c: -(-members[c] // fewest) for c in bit}
-    source_bit = {s: 1 << k for k, s in enumerate(sorted({s for s in sources if s in apart}))}
+    of_source = Counter(s for s in sources if s is not None)
+    source_quota = {s: 1 if s in apart else max(1, math.ceil(spread * n / fewest)) for s, n in of_source.items() if s in apart or spread}
+    source_bit = {s: 1 << k for k, s in enumerate(sorted(source_quota))}
     free: list[tuple[int, int]] = []  # (free space, container), ascending
     full_clusters: list[int] = []
     taken_sources: list[int] = []
-    held: dict[tuple[int, object], int] = defaultdict(int)
+    held: dict[tuple[int, object], int] = defaultdict(int)  # sources are texts, clusters numbers
     where = []
     for size, source, cluster in zip(sizes, sources, clusters):
         cb, sb = bit.get(cluster, 0), source_bit.get(source, 0)
-        k = bisect_left(free, (size, -1))
+        k = first = bisect_left(free, (size, -1))
         while k < len(free) and (full_clusters[free[k][1]] & cb or taken_sources[free[k][1]] & sb):
             k += 1
+        if k == len(free) and sb and source not in apart and len(full_clusters) >= most:
+            k = first
+            while k < len(free) and full_clusters[free[k][1]] & cb:
+                k += 1
         if k < len(free):
             space, box = free.pop(k)
         else:
             space, box = capacity, len(full_clusters)
             full_clusters.append(0)
             taken_sources.append(0)
-        taken_sources[box] |= sb
+        if sb:
+            held[box, source] += 1
+            if held[box, source] >= source_quota[source]:
+                taken_sources[box] |= sb
         if cb:
             held[box, cluster] += 1
             if held[box, cluster] >= quota[cluster]:
@@ -63,11 +83,11 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, apa
 _OUT = "pack_name string, container_id long, doc_id long, piece_no int, start_token long, end_token long"
 
 
-def _packer(apart: frozenset):
+def _packer(apart: frozenset, spread: float | None):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "piece_no"], ascending=[False, True, True], kind="stable")
         capacity = int(pdf.capacity.iloc[0])
-        box = best_fit(pdf["size"].tolist(), pdf.source.tolist(), pdf.cluster.tolist(), capacity, apart)
+        box = best_fit(pdf["size"].tolist(), pdf.source.tolist(), pdf.cluster.tolist(), capacity, apart, spread)
         return pd.DataFrame(
             {
                 "pack_name": pdf.pack_name,
@@ -83,9 +103,10 @@ def _packer(apart: frozenset):
 
 
 def pack(
-    items: DataFrame, capacities: DataFrame, shard_tokens: int = SHARD_TOKENS, apart: tuple[str, ...] = ()
+    items: DataFrame, capacities: DataFrame, shard_tokens: int = SHARD_TOKENS, apart: tuple[str, ...] = (),
+    spread: float | None = None, shard_items: int = SHARD_ITEMS,
 ) -> DataFrame:
-    """Container of every item, for every capacity.
+    """Container of every item, for every capacity; ``apart`` and ``spread`` as in :func:`best_fit`.
 
     ``items``: doc_id, source, cluster, n_tokens (cluster: items that may not meet, null for none).
     ``capacities``: pack_name, capacity_tokens; null or non-positive capacities are ignored.
@@ -98,8 +119,8 @@ def pack(
         F.min("capacity_tokens").cast("long").alias("capacity")
     )
     items = items.select("doc_id", "source", "cluster", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
-    total = items.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_tokens))
+    total, number = items.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    shards = max(1, -(-int(total) // shard_tokens), -(-number // shard_items))
     # every item once for each of the capacities, which are a configuration of a few rows
     packs = F.array(*[F.struct(F.lit(r.pack_name).alias("pack_name"), F.lit(r.capacity).alias("capacity")) for r in caps.collect()])
     each = items.select("*", F.explode(packs).alias("p")).select("doc_id", "source", "cluster", "n_tokens", "p.*")
@@ -125,7 +146,7 @@ def pack(
         F.col("x.start").alias("start_token"),
         F.col("x.size").alias("size"),
     )
-    return work.groupBy("pack_name", "shard").applyInPandas(_packer(frozenset(apart)), _OUT).unionByName(none)
+    return work.groupBy("pack_name", "shard").applyInPandas(_packer(frozenset(apart), spread), _OUT).unionByName(none)
 
 
 def duplicate_cluster(text: Column) -> Column:
