@@ -2,7 +2,9 @@ import itertools
 import random
 import re
 
-from weftline.llm.neardup import near_duplicate_groups, near_duplicate_pairs, near_duplicates, word_sets
+import numpy as np
+
+from weftline.llm.neardup import _last_partners, _widths, near_duplicate_groups, near_duplicate_pairs, near_duplicates, word_sets
 
 SCHEMA = "obs_id long, title string, narrative string, facts array<string>, n int, sig string"
 WORD = re.compile(r"[^\W_]+")
@@ -49,15 +51,35 @@ def test_pairs_equal_brute_force(spark):
     assert all(groups[g] == g for g in groups.values())
 
 
-def test_large_group_of_copies_is_a_star(spark):
-    rows = [(k, "alpha beta gamma delta epsilon zeta eta theta iota kappa", None, None, 1, "x") for k in range(1, 61)]
-    rows.append((100, "alpha beta gamma delta epsilon zeta eta theta iota", None, None, 1, "x"))
-    rows.append(rows[0])  # a repeated row is the same record
-    links, members = near_duplicates(spark.createDataFrame(rows, SCHEMA))
-    pairs = {(r.id_a, r.id_b) for r in near_duplicate_pairs(links, members, full_copies=8).collect()}
-    assert pairs == {(1, k) for k in range(2, 61)} | {(1, 100)}
-    full = near_duplicate_pairs(links, members, full_copies=100).collect()
-    assert len(full) == 60 * 59 // 2 + 60
+def test_long_texts_have_wider_signatures(spark):
+    rnd = random.Random(5)
+    vocab = [f"w{k}" for k in range(4000)]
+    rows, i = [], 0
+    for size in (20, 150, 161, 200, 300, 321, 460, 700, 1000, 1400):
+        for _ in range(6):
+            words = rnd.sample(vocab, size)
+            for share in (0.0, 0.05, 0.15, 0.3):  # edits, and cuts that lead to another width
+                i += 1
+                w = [rnd.choice(vocab) if rnd.random() < share / 2 else x for x in words][: int(size * (1 - share * 0.9)) or 1]
+                rows.append((i, " ".join(w), None, None))
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    links, members = near_duplicates(df)
+    assert {(r.id_a, r.id_b) for r in near_duplicate_pairs(links, members).collect()} == brute(rows, 0.7)
+    few = near_duplicates(df, threshold=0.9)
+    assert {(r.id_a, r.id_b) for r in near_duplicate_pairs(*few).collect()} == brute(rows, 0.9)
+    assert list(_widths(np.array([1, 160, 161, 320, 321, 640, 641]))) == [4, 4, 8, 8, 16, 16, 32]
+
+
+def test_tiles_and_partners():
+    meta = [{"tile": k, "lo": lo, "hi": hi} for k, (lo, hi) in enumerate([(1, 10), (10, 14), (14, 15), (16, 30), (40, 60)])]
+    assert _last_partners(meta, 0.7) == [(0, 2), (1, 3), (2, 3), (3, 4), (4, 4)]
+    assert _last_partners([], 0.7) == []
+
+
+def test_an_id_with_several_texts_counts_with_each(spark):
+    rows = [(1, "a b c d e f g h i j", None, None), (1, "k l m n o p q r s t", None, None), (2, "a b c d e f g h i j x", None, None), (3, "k l m n o p q r s t y", None, None), (1, "a b c d e f g h i j", None, None)]
+    pairs = {(r.id_a, r.id_b) for r in near_duplicate_pairs(*near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA))).collect()}
+    assert pairs == {(1, 2), (1, 3)}
 
 
 def test_large_classes_and_their_links_give_all_pairs(spark):

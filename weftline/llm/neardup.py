@@ -1,14 +1,18 @@
 """Problem 5: near-duplicate records with small edits, by tiled exact comparison.
 
 Every record becomes a set of distinct words. Two sets A, B with Jaccard similarity >= t differ in at
-most r = floor((|A| + |B|)(1 - t)/(1 + t)) words. A parity signature (each word flips one of 256 bits)
-changes by at most one bit per differing word, so popcount(sig_A xor sig_B) <= r for every such pair:
-the comparison of signatures loses no pair, and an exact check of the words follows.
+most r = floor((|A| + |B|)(1 - t)/(1 + t)) words. A parity signature (each word flips one bit) changes by at
+most one bit per differing word, so popcount(sig_A xor sig_B) <= r for every such pair: the comparison of
+signatures loses no pair, and an exact check of the words follows. A signature has at least 1.6 bits for each
+word of its set, from 256 bits on by doubling; the wider of two is folded to the narrower (its halves are
+exclusive-ored), so long texts are told apart as well as short ones.
 
 Records with equal word sets are one class and are compared once. Classes are sorted by their
 population count (number of words), cut into tiles, and only tile pairs whose population counts can be
 within the radius are compared, with numpy exclusive-or and bit counts. Tiles have a fixed maximal size,
-so a hot group of copies (one class) or of equal sizes (several tiles) makes no large task.
+so a hot group of copies (one class) or of equal sizes (several tiles) makes no large task. Partners of a tile
+are the tiles from it to the last one that begins within the radius; each tile is shuffled once for every
+comparison it takes part in, and the driver holds three numbers a tile.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from pyspark.sql import functions as F
 from weftline.operators.components import connected_components
 from weftline.session import cut
 
-#: Bits of a signature and its 64-bit words. For all pairs of a tile pair two words are compared, three or four
-#: where the radius is above these bounds: a signature must have several times as many bits as the radius.
-SIG_BITS, WORDS, THREE_WORDS, FOUR_WORDS = 256, 4, 34, 60
+#: 64-bit words of the narrowest signature and how many words of a set it serves; wider ones serve as many times more.
+WORDS, SERVES = 4, 160
+#: For all pairs of a strip two words are compared, three where the radius is above the first bound, above the second
+#: one for each PER_WORD of the radius: a signature must have several times as many bits as the radius.
+THREE_WORDS, FOUR_WORDS, PER_WORD = 34, 60, 16
 #: Rows of a tile and of a strip of it that is compared at once.
 TILE_MIN, TILE_MAX, STRIP, WIDTH = 16_384, 262_144, 16, 4096
 
@@ -42,6 +48,12 @@ def word_sets(df: DataFrame, id_col: str, text: list[str], arrays: list[str]) ->
 _SIG_SCHEMA = "id long, n int, f1 long, f2 long, sig binary"
 
 
+def _widths(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the signature of a set of n words: WORDS times the least power of two that serves it."""
+    times = np.maximum(1, -(-n.astype(np.int64) // SERVES))
+    return WORDS << np.ceil(np.log2(times)).astype(np.int64)
+
+
 def _signatures(batches):
     for b in batches:
         ids = b.column(0)
@@ -54,9 +66,18 @@ def _signatures(batches):
             continue
         row = np.repeat(np.arange(rows), n)
         flat = flat[off[0] - hashes.offsets[0].as_py() :]
-        bit = (flat & np.uint64(SIG_BITS - 1)).astype(np.int64)
-        par = (np.bincount(row * SIG_BITS + bit, minlength=rows * SIG_BITS) & 1).astype(np.uint8)
-        sig = np.packbits(par.reshape(rows, SIG_BITS), axis=1)
+        width = _widths(n)
+        sig: list[bytes] = [b""] * rows
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            place = np.full(rows, -1)
+            place[own] = np.arange(len(own))
+            mine = place[row] >= 0
+            bits = int(w) * 64
+            bit = (flat[mine] & np.uint64(bits - 1)).astype(np.int64)
+            par = (np.bincount(place[row[mine]] * bits + bit, minlength=len(own) * bits) & 1).astype(np.uint8)
+            for r, x in zip(own, np.packbits(par.reshape(len(own), bits), axis=1)):
+                sig[r] = x.tobytes()
         # order-free fingerprints of the set: sums of two mixings of the 64-bit word hashes
         m1 = (flat ^ (flat >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         m2 = (flat ^ (flat >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
@@ -65,21 +86,23 @@ def _signatures(batches):
         edge = np.concatenate([[0], np.cumsum(n)])
         f1, f2 = c1[edge[1:]] - c1[edge[:-1]], c2[edge[1:]] - c2[edge[:-1]]
         yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array(n),
-                pa.array(f1.view(np.int64)),
-                pa.array(f2.view(np.int64)),
-                pa.array([s.tobytes() for s in sig], pa.binary()),
-            ],
+            [ids, pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sig, pa.binary())],
             names=["id", "n", "f1", "f2", "sig"],
         )
 
 
-def _tile_pairs(meta: list, t: float) -> list[tuple[int, int]]:
-    """Tile pairs whose population counts can be within the radius: n <= m <= n / t."""
+def _last_partners(meta: list, t: float) -> list[tuple[int, int]]:
+    """For each tile the last tile whose population counts can be within the radius: n <= m <= n / t. Tiles are
+    numbered in order of population count, so its partners are all from it to that one."""
     meta = sorted((m["tile"], m["lo"], m["hi"]) for m in meta)
-    return [(a, b) for a, _, ahi in meta for b, blo, _ in meta if b >= a and blo * t <= ahi + 1e-9]
+    tile, lo = [m[0] for m in meta], np.array([m[1] for m in meta], float)
+    return [(a, tile[int(np.searchsorted(lo * t, hi + 1e-9, side="right")) - 1]) for a, _, hi in meta]
+
+
+def _folded(sigs: bytes, rows: int, words: int) -> np.ndarray:
+    """The signatures of a tile, exclusive-ored down to ``words`` 64-bit words a row."""
+    s = np.frombuffer(sigs, np.uint64).reshape(rows, -1)
+    return s if s.shape[1] == words else np.bitwise_xor.reduce(s.reshape(rows, -1, words), axis=1)
 
 
 def _compare(t: float):
@@ -87,14 +110,14 @@ def _compare(t: float):
 
     def run(batches):
         diff = np.empty((STRIP, WIDTH), np.uint64)
-        far, add = np.empty((STRIP, WIDTH), np.uint8), np.empty((STRIP, WIDTH), np.uint8)
+        far, add, far2 = np.empty((STRIP, WIDTH), np.uint8), np.empty((STRIP, WIDTH), np.uint8), np.empty((STRIP, WIDTH), np.uint16)
         for pdf in batches:
             for x in pdf.itertuples(index=False):
-                sa = np.frombuffer(x.sigs_a, np.uint64).reshape(-1, WORDS)
-                sb = np.frombuffer(x.sigs_b, np.uint64).reshape(-1, WORDS)
                 na, nb = np.frombuffer(x.ns_a, np.int32), np.frombuffer(x.ns_b, np.int32)
                 ia, ib = np.frombuffer(x.ids_a, np.int64), np.frombuffer(x.ids_b, np.int64)
-                cols = [np.ascontiguousarray(sb[:, k]) for k in range(WORDS)]
+                words = min(len(x.sigs_a) // (8 * len(na)), len(x.sigs_b) // (8 * len(nb)))
+                sa, sb = _folded(x.sigs_a, len(na), words), _folded(x.sigs_b, len(nb), words)
+                cols: dict[int, np.ndarray] = {}
                 left, right = [], []
                 for s in range(0, len(na), STRIP):
                     e = min(s + STRIP, len(na))
@@ -103,28 +126,31 @@ def _compare(t: float):
                     hi = np.searchsorted(nb, np.floor(na[e - 1] / t + 1e-9), side="right")
                     for u in range(int(lo), int(hi), WIDTH):
                         v = min(u + WIDTH, int(hi))
-                        d, f, g = (m[: e - s, : v - u] for m in (diff, far, add))
-                        near = min(255, int((int(na[e - 1]) + int(nb[v - 1])) * q + 1e-9))
-                        dense = 2 if near <= THREE_WORDS else 3 if near <= FOUR_WORDS else WORDS
+                        near = int((int(na[e - 1]) + int(nb[v - 1])) * q + 1e-9)
+                        dense = min(words, 2 if near <= THREE_WORDS else 3 if near <= FOUR_WORDS else -(-near // PER_WORD))
+                        d, g = diff[: e - s, : v - u], add[: e - s, : v - u]
+                        f = (far if dense <= 3 else far2)[: e - s, : v - u]  # 192 bits fit in a byte
                         for k in range(dense):
+                            if k not in cols:
+                                cols[k] = np.ascontiguousarray(sb[:, k])
                             np.bitwise_xor(sa[s:e, k : k + 1], cols[k][None, u:v], out=d)
                             np.bitwise_count(d, out=g if k else f)
                             if k:
                                 np.add(f, g, out=f)
-                        hit = np.flatnonzero(np.less_equal(f, near, out=g.view(bool)))
+                        hit = np.flatnonzero(f <= near)
                         if not len(hit):
                             continue
                         i, j = np.divmod(hit, v - u)
-                        if dense < WORDS:  # one more word thins the few that are left
-                            so_far = f[i, j] + np.bitwise_count(sa[i + s, dense] ^ cols[dense][j + u])
+                        if dense < words:  # one more word thins the few that are left
+                            so_far = f[i, j] + np.bitwise_count(sa[i + s, dense] ^ sb[j + u, dense])
                             i, j = i[so_far <= near], j[so_far <= near]
                         i, j = i + s, j + u
                         if x.ta == x.tb:
                             keep = j > i
                             i, j = i[keep], j[keep]
                         r = np.floor((na[i].astype(np.int64) + nb[j]) * q + 1e-9)
-                        d = np.bitwise_count(sa[i] ^ sb[j]).sum(axis=1, dtype=np.int64)
-                        keep = d <= r
+                        far_all = np.bitwise_count(sa[i] ^ sb[j]).sum(axis=1, dtype=np.int64)
+                        keep = far_all <= r
                         left.append(ia[i[keep]])
                         right.append(ib[j[keep]])
                 if left:
@@ -159,8 +185,8 @@ def near_duplicates(
     links (a, b, similarity): pairs of classes, a < b, each class named by its smallest id; a class is
     the group of records with equal word sets. members (id, rep, n): the class of every record that has
     words. Records without any word (all fields null or empty) are alike to nothing and are in neither.
-    Nulls in a field count as empty, repeated rows of one id count once, other columns are ignored, an
-    empty table gives two empty results. Nothing is capped: every pair within the radius is compared.
+    Nulls in a field count as empty, repeated rows of one id count once (one with several texts is alike to what
+    any of them is alike to), other columns are ignored, an empty table gives two empty results. Nothing is capped: every pair within the radius is compared.
     """
     spark = df.sparkSession
     sets = word_sets(df, id_col, list(text), list(arrays)).where(F.size("words") > 0)
@@ -174,30 +200,34 @@ def near_duplicates(
         .select("id", "rep", "n")
         .distinct()
     )
-    # Tiles: positions in the order of population count come from counts per population count.
-    per_n = classes.groupBy("n").agg(F.count("*").alias("c"))
-    per_n = per_n.withColumn("before", F.sum("c").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)))
+    # Tiles: positions in the order of population count come from counts per population count; signatures of one
+    # width form one stretch of that order, and a tile holds one width. As many rows as there are different set sizes.
+    per_n = classes.groupBy("n", F.octet_length("sig").alias("width")).agg(F.count("*").alias("c"))
+    earlier = lambda w: F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_n = per_n.withColumn("before", earlier(Window.partitionBy("width").orderBy("n")))
     total = classes.count()
     tile_rows = int(min(TILE_MAX, max(TILE_MIN, total / 48)))
-    spread = classes.join(
-        F.broadcast(per_n.select("n", F.coalesce("before", F.lit(0)).alias("before"), "c")), "n"
-    )  # as many rows as different set sizes
+    stretch = per_n.groupBy("width").agg(F.ceil(F.sum("c") / tile_rows).alias("c"))
+    stretch = stretch.select("width", earlier(Window.orderBy("width")).alias("first_tile"))
+    spread = classes.join(F.broadcast(per_n.join(stretch, "width").select("n", "before", "c", "first_tile")), "n")
     pos = F.col("before") + F.pmod(F.xxhash64("id"), F.col("c"))
     tiles = cut(
-        spread.select(F.floor(pos / tile_rows).cast("int").alias("tile"), "id", "n", "sig")
+        spread.select((F.col("first_tile") + F.floor(pos / tile_rows)).cast("int").alias("tile"), "id", "n", "sig")
         .groupBy("tile")
         .applyInPandas(_pack_tile, "tile int, lo int, hi int, sigs binary, ns binary, ids binary")
     )
-    pairs = _tile_pairs(tiles.select("tile", "lo", "hi").collect(), threshold)  # one row a tile
-    todo = spark.createDataFrame(pairs or [(-1, -1)], "ta int, tb int")
-    side = lambda s: tiles.select(
-        F.col("tile").alias(f"t{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("sigs", "ns", "ids")]
-    )
-    work = todo.join(side("a"), "ta").join(side("b"), "tb").repartition(max(1, len(pairs)), "ta", "tb")
-    near = cut(work.mapInPandas(_compare(threshold), "x long, y long"))
+    last = _last_partners(tiles.select("tile", "lo", "hi").collect(), threshold)  # one row a tile
+    todo = spark.createDataFrame(last or [(-1, -1)], "ta int, last int").select("ta", F.explode(F.sequence("ta", "last")).alias("tb"))
+    tasks = max(1, sum(z - a + 1 for a, z in last))
+
+    def side(s: str) -> DataFrame:
+        blobs = tiles.select(F.col("tile").alias(f"t{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("sigs", "ns", "ids")])
+        return blobs.join(F.broadcast(todo) if tasks <= 100_000 else todo, f"t{s}").repartition(tasks, "ta", "tb")
+
+    near = cut(side("a").join(side("b"), ["ta", "tb"]).mapInPandas(_compare(threshold), "x long, y long").where("x <> y"))
     # Exact check on the words of the few rows that occur in a candidate pair.
     ends = near.select(F.col("x").alias(id_col)).union(near.select("y")).distinct()
-    words = word_sets(df.join(ends, id_col, "left_semi"), id_col, list(text), list(arrays)).dropDuplicates(["id"])
+    words = word_sets(df.join(ends, id_col, "left_semi"), id_col, list(text), list(arrays)).distinct()
     both = F.size(F.array_intersect("wx", "wy"))
     links = (
         near.join(words.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
@@ -205,42 +235,26 @@ def near_duplicates(
         .withColumn("common", both)
         .withColumn("similarity", F.col("common") / (F.size("wx") + F.size("wy") - F.col("common")))
         .where(F.col("similarity") >= threshold)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .agg(F.max("similarity").alias("similarity"))
     )
     return links, members
 
 
-def near_duplicate_pairs(links: DataFrame, members: DataFrame, full_copies: int | None = None) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of records of one class or of two linked classes.
-
-    A class of k records gives k (k - 1) / 2 pairs, and two linked ones the product of their sizes. With
-    ``full_copies``, a class of more records is shortened: its smallest id stands for all in links to other
-    classes, and has one row with each other record of the class. The members of a class may differ in the
-    order or repetition of words, so pairs of different texts are left out then as well.
-    """
+def near_duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: all pairs of records of one class or of two linked classes. A class of k records gives
+    k (k - 1) / 2 pairs, and two linked ones the product of their sizes."""
     m = members.select("id", "rep")
-    star = None
-    if full_copies is not None:
-        sized = members.join(members.groupBy("rep").agg(F.count("*").alias("copies")), "rep")
-        small = F.col("copies") <= full_copies
-        m = sized.where(small).select("id", "rep")
-        star = sized.where(~small & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("p"), F.col("id").alias("q"))
-    speak = m if star is None else sized.where(small | (F.col("id") == F.col("rep"))).select("id", "rep")
-    linked = links.select("a", "b").join(
-        speak.select(F.col("id").alias("p"), F.col("rep").alias("a")), "a"
-    ).join(speak.select(F.col("id").alias("q"), F.col("rep").alias("b")), "b").select("p", "q")
-    within = m.select(F.col("id").alias("p"), "rep").join(m.select(F.col("id").alias("q"), "rep"), "rep").where(
-        "p < q"
-    ).select("p", "q")
-    pairs = linked.union(within)
-    if star is not None:
-        pairs = pairs.union(star)
-    return pairs.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
+    side = lambda x, y: m.select(F.col("id").alias(x), F.col("rep").alias(y))
+    linked = links.select("a", "b").join(side("p", "a"), "a").join(side("q", "b"), "b").select("p", "q")
+    within = side("p", "rep").join(side("q", "rep"), "rep").where("p < q").select("p", "q")
+    return linked.union(within).select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
 
 
 def near_duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """(id, class_id, group_id, n_links): one row per record; group_id is the smallest id reachable over
     links, n_links the number of other classes its class is linked to."""
+    links = cut(links)
     comp = connected_components(links, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("group_id"))
     deg = (
         links.select(F.col("a").alias("rep"))

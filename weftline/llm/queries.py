@@ -172,8 +172,20 @@ f AS (SELECT session_id, o, min_by(tool, event_id) AS tool FROM e WHERE session_
 g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY o) - row_number() OVER (PARTITION BY session_id, tool ORDER BY o) AS i FROM f)
 SELECT session_id, min(o) AS first_offset, max(o) AS last_offset FROM g GROUP BY session_id, tool, i HAVING count(*) >= 3"""
 
+_SETS = r"""w AS (SELECT obs_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(title, ''), coalesce(narrative, ''), coalesce(array_to_string(facts, ' '), ''))), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS ws FROM observations WHERE obs_id IS NOT NULL),
+u AS (SELECT obs_id, unnest(ws) AS t FROM w), c AS (SELECT a.obs_id AS a, b.obs_id AS b, count(*) AS k FROM u a JOIN u b ON a.t = b.t AND a.obs_id < b.obs_id GROUP BY 1, 2),
+pairs AS (SELECT a, b FROM c JOIN w x ON x.obs_id = a JOIN w y ON y.obs_id = b WHERE k >= 0.7 * (len(x.ws) + len(y.ws) - k))"""
+_GROUPS = f"""WITH RECURSIVE {_SETS},
+m AS (SELECT obs_id, min(obs_id) OVER (PARTITION BY ws) AS class_id FROM w WHERE len(ws) > 0),
+e AS (SELECT a, b FROM pairs JOIN m x ON x.obs_id = a AND x.class_id = a JOIN m y ON y.obs_id = b AND y.class_id = b), s AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT x, y FROM s UNION SELECT r.x, s.y FROM r JOIN s ON r.y = s.x), g AS (SELECT x, least(x, min(y)) AS group_id FROM r GROUP BY x), d AS (SELECT x, count(*) AS n FROM s GROUP BY x)
+SELECT obs_id, class_id, coalesce(group_id, class_id) AS group_id, coalesce(n, 0)::BIGINT AS n_links FROM m LEFT JOIN g ON g.x = class_id LEFT JOIN d ON d.x = class_id"""
+
 #: Equivalent SQL where it is quick enough on whole tables; the rest is tested by brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "p1_found": _RUNS,
+    "p5_found": f"WITH {_SETS} SELECT a AS obs_id_a, b AS obs_id_b FROM pairs",
+    "p5_groups": _GROUPS,
+    "p6_rules": "SELECT rule, 0::BIGINT AS violations FROM (VALUES ('one value, two pseudonyms'), ('two values, one pseudonym'), ('found, not masked')) t(rule)",
     "p3_found": """SELECT chunk_id FROM transcript_chunks JOIN (SELECT provider, min(max_bytes) AS m FROM chunk_limits GROUP BY 1) USING (provider) WHERE octet_length(encode(raw)) > m""",
 }
