@@ -5,6 +5,9 @@ after entity escaping, JSON escaping and newline conversion; grouped by source,
 limit shows as a pile of texts at one length, the greatest or another. Endings: whether the last words can end a sentence is read off all
 texts, by how often the same last three, two or one words (Chinese: four, three, two characters) stand before a
 mark and how often they go on.
+
+Different texts count once. Words and their sequences are numbers of 64 bits; the texts to be judged by their endings
+are few, so a bitmap of fixed size of the sequences they end on keeps the rest from being shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +15,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +35,13 @@ FINAL = r"(?:[.!?。！？][\"'”’」』)\]）]*|[)）\]`」』])$"
 PILE_TEXTS, PILE_SHARE, PILE_DENSITY, SLACK, BELOW = 4, 0.005, 5, 3, 40
 #: Least share of the occurrences of an ending that stand before a mark.
 CAN_END = 0.08
+#: A labelled tail is whole if so many different texts end on it, and this share of all texts that have it.
+TAIL_TEXTS, TAIL_SHARE = 3, 0.5
 
 _HAN = r"㐀-鿿豈-﫿"
 _TOKEN = re.compile(r"[A-Za-z0-9][\w/.\-']*[A-Za-z0-9/_]|[A-Za-z0-9]", re.A)
 _CJK = re.compile(f"[{_HAN}]")
+_LABELLED = re.compile(r"(?:^|(?<=[\s。.]))([A-Z][a-z]+: [^.:\n]{1,60})")
 _LABEL = re.compile(r"(?:^|[\s。.])([A-Z][a-z]+: [^.:\n]{1,40})$")
 _PATH = re.compile(r"^[\w\-]+(?:/[\w\-]+)+(\.\w+)?$")
 
@@ -54,29 +62,29 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def hidden_limits(texts: DataFrame, source: str = "source", body: str = "body", part: str = "table_name") -> DataFrame:
+def hidden_limits(texts: DataFrame) -> DataFrame:
     """(source, part, measure, limit_at, top, texts, piled): all lengths at which texts of a source pile up, in both
     tables together (part is empty) and in each table. Copies of a text count once; a source without a pile has no row.
+    ``texts``: source, table_name, h (a hash of the text), tail (a hash of its end, null behind a final mark), lengths.
 
     At the greatest length of the tables together (top) all texts count, and of several measures the one with the
     largest pile is taken. At any other length only texts without a final mark count, and those of one length that
     end alike but for numbers count once: notes made after one pattern make no limit."""
-    m = measures(F.col("b"))
-    lens = F.array(*[F.struct(F.lit(k).alias("measure"), F.lit(i).alias("rank"), v.cast("int").alias("len")) for i, (k, v) in enumerate(m.items())])
-    different = texts.groupBy(source, F.xxhash64(body).alias("h")).agg(F.collect_set(part).alias("parts"), F.min(body).alias("b"))
-    tail = F.when(~F.col("b").rlike(FINAL), F.xxhash64(F.right(F.regexp_replace("b", r"[0-9]+", "0"), F.lit(12))))
-    each = different.select(source, F.concat(F.array(F.lit("")), "parts").alias("parts"), tail.alias("tail"), F.explode(lens).alias("m"))
-    each = each.select(source, F.explode("parts").alias("part"), "tail", "m.*")
-    per = each.groupBy(source, "part", "measure", "rank", "len").agg(F.count("*").alias("n"), F.count_distinct("tail").alias("o"))
-    w = Window.partitionBy(source, "part", "measure")  # as many rows as there are different lengths
+    names = list(measures(F.lit("")))
+    different = texts.groupBy("source", "h").agg(F.collect_set("table_name").alias("parts"), F.min("tail").alias("tail"), F.min("lengths").alias("lengths"))
+    each = different.select("source", F.concat(F.array(F.lit("")), "parts").alias("parts"), "tail", F.posexplode("lengths").alias("rank", "len"))
+    each = each.select("source", F.explode("parts").alias("part"), "tail", "rank", "len")
+    per = each.groupBy("source", "part", "rank", "len").agg(F.count("*").alias("n"), F.count_distinct("tail").alias("o"))
+    w = Window.partitionBy("source", "part", "rank")  # as many rows as there are different lengths
     near = lambda c, a, z: F.coalesce(F.sum(c).over(w.orderBy("len").rangeBetween(a, z)), F.lit(0))
     top = (F.col("part") == "") & (F.col("len") == F.max("len").over(w))
     per = per.withColumn("texts", F.sum("n").over(w)).withColumn("top", top)
     for c in "no":
         per = per.withColumn(f"piled_{c}", near(c, -SLACK, 0)).withColumn(f"below_{c}", near(c, -SLACK - BELOW, -SLACK - 1)).withColumn(f"above_{c}", near(c, 1, BELOW))
     pile = lambda c: (F.col(f"piled_{c}") >= PILE_TEXTS) & (F.col(f"piled_{c}") >= PILE_SHARE * F.col("texts")) & (F.col(f"piled_{c}") * BELOW >= PILE_DENSITY * (SLACK + 1) * F.greatest(f"below_{c}", f"above_{c}"))
-    out = [source, "part", "measure", F.col("len").alias("limit_at"), "top", "texts"]
-    best = Window.partitionBy(source).orderBy(F.desc("piled_n"), "rank")
+    measure = F.get(F.array(*[F.lit(k) for k in names]), F.col("rank")).alias("measure")
+    out = ["source", "part", measure, F.col("len").alias("limit_at"), "top", "texts"]
+    best = Window.partitionBy("source").orderBy(F.desc("piled_n"), "rank")
     first = per.where(F.col("top") & pile("n")).withColumn("k", F.row_number().over(best)).where("k = 1").select(*out, F.col("piled_n").alias("piled"))
     return first.unionByName(per.where(~F.col("top") & pile("o")).select(*out, F.col("piled_o").alias("piled")))
 
@@ -93,80 +101,217 @@ def _word(w: str) -> str:
     return w.lower()
 
 
-def _tokens(text: str) -> list[tuple[str, str]]:
-    """(token, 'f' if a mark or line end follows, 'c' if it goes on, 'e' at the end of the text)."""
-    out = []
-    found = list(_TOKEN.finditer(text))
-    for m in found:
-        rest = text[m.end() : m.end() + 3]
-        if not rest.strip():
-            kind = "f" if "\n" in text[m.end() :] else "e" if not text[m.end() :].strip() else "c"
-        elif rest[0] in ".!?,;:)\n。，！？；）\"'”`" or rest[:2] in (" (", "\n", " （") or rest[0] in "（(":
-            kind = "f"
-        else:
-            kind = "c"
-        out.append((_word(m[0]), kind))
-    return out
+_SPLIT = re.compile(f"({_TOKEN.pattern})", re.A)
+_FOLLOWS = frozenset(".!?,;:)\n。，！？；）\"'”`（(")
+
+
+def _kind(gap: str, last: bool) -> str:
+    """'f' if a mark or line end follows a token, 'c' if the text goes on, 'e' at the end of the text. ``gap`` is all up to
+    the next token."""
+    head = gap[:3]
+    if last or len(gap) > 2:
+        if not head.strip():
+            return "f" if "\n" in gap and last else "e" if last and not gap.strip() else "c"
+    if head[:1] in _FOLLOWS and head or head[:2] in (" (", " （"):
+        return "f"
+    return "c"
+
+
+_SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+
+
+def _mix(tag: int, *parts: np.ndarray) -> np.ndarray:
+    """64-bit keys of sequences of hashes, the tag being the kind of key."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(parts[0]), np.uint64(tag)) * _SALTS[0]
+        for p, salt in zip(parts, _SALTS[1:]):
+            h = (h ^ (p * salt)) * _SALTS[0]
+            h ^= h >> np.uint64(29)
+        return h
+
+
+def _hash(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+
 
+# Kinds of keys: one to three words, last letters of a word, the word before, four to two Chinese characters, labelled tails.
+_W, _S, _P, _H, _T = (1, 2, 3), 4, 5, {4: 6, 3: 7, 2: 8}, 9
+#: Bits of the bitmap of wanted keys, a power of two.
+BITMAP_BITS = 1 << 23
 
-def ending_keys(body: str) -> list[str]:
+
+def ending_keys(body: str) -> list[int]:
     """Keys of the ending of a text, the most specific first, then those for unknown words."""
     if not body:
         return []
     if _CJK.match(body[-1]):
-        return [f"h{k}:{body[-k:]}" for k in (4, 3, 2)]
-    t = [w for w, _ in _tokens(body[-400:])][-3:]
+        codes = np.array([ord(c) for c in body[-4:]], np.uint64)
+        return [int(_han_keys(codes[-k:][None], k)[0]) if len(codes) >= k else 0 for k in (4, 3, 2)]
+    t = [_word(w) for w in _TOKEN.findall(body[-400:])][-3:]
     if not t:
         return []
-    keys = [f"w{k}:{' '.join(t[-k:])}" for k in (3, 2, 1)]
-    return [*keys, f"s:{t[-1][-3:]}", f"p:{t[-2] if len(t) > 1 else ''}"]
-
-
-def _count_grams(batches):
-    """(key, ended, went_on) over all texts, summed up within a batch."""
-    for pdf in batches:
-        ended: Counter[str] = Counter()
-        went: Counter[str] = Counter()
-        for body in pdf.body:
-            toks = _tokens(body)
-            for k, (w, kind) in enumerate(toks):
-                if kind == "e":
-                    continue
-                c = ended if kind == "f" else went
-                c["w1:" + w] += 1
-                if k:
-                    c[f"w2:{toks[k - 1][0]} {w}"] += 1
-                    c["p:" + toks[k - 1][0]] += 1
-                if k > 1:
-                    c[f"w3:{toks[k - 2][0]} {toks[k - 1][0]} {w}"] += 1
-                if w[0] != "<":
-                    ended["s:" + w[-3:]] += 1
-                    for j in range(len(w) - 3):
-                        went["s:" + w[j : j + 3]] += 1
-            for m in re.finditer(f"[{_HAN}]+", body):
-                a, z = m.span()
-                for k in range(a + 1, z + 1):
-                    if k == len(body):
-                        continue
-                    c = ended if k == z and not body[k].isalnum() else went
-                    for n in (2, 3, 4):
-                        if k - n >= a:
-                            c[f"h{n}:{body[k - n : k]}"] += 1
-            m = _LABEL.search(body)
-            if m:
-                ended["t:" + m[1]] += 1
-        keys = list(ended.keys() | went.keys())
-        yield pd.DataFrame({"key": keys, "ended": [ended[k] for k in keys], "went_on": [went[k] for k in keys]})
+    h = _hash(t)
+    one = lambda tag, *x: int(_mix(tag, *[np.array([v], np.uint64) for v in x])[0])
+    keys = [one(_W[k - 1], *h[-k:]) if len(t) >= k else 0 for k in (3, 2, 1)]
+    before = h[-2] if len(t) > 1 else _hash([""])[0]
+    return [*keys, one(_S, _hash([t[-1][-3:]])[0]), one(_P, before)]
+
+
+def tail_key(body: str) -> int | None:
+    """The key of what follows a label (``Next: ...``) at the end of a text."""
+    m = _LABEL.search(body)
+    return int(_mix(_T, _hash([m[1]]))[0]) if m else None
+
+
+def _han_keys(windows: np.ndarray, n: int) -> np.ndarray:
+    packed = np.zeros(len(windows), np.uint64)
+    for k in range(n):
+        packed = (packed << np.uint64(16)) | windows[:, k]
+    return _mix(_H[n], packed)
+
+
+def _count_grams(bitmap: np.ndarray):
+    """(key, ended, went_on) of the wanted keys over all texts, summed up within a batch."""
+
+    def wanted(keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64(BITMAP_BITS - 1)
+        return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+    def words(bodies: list[str]):
+        """(codes, ends, starts a text, hashes, names) of all tokens of the batch."""
+        code: dict[str, int] = {}
+        kinds: dict[tuple[str, bool], str] = {}
+        at, kind, sizes = [], [], []
+        for body in bodies:
+            part = _SPLIT.split(body)
+            toks, gaps = part[1::2], part[2::2]
+            at += [code.setdefault(w, len(code)) for w in toks]
+            for k, gap in enumerate(gaps):
+                key = (gap, k == len(gaps) - 1)
+                got = kinds.get(key)
+                if got is None:
+                    got = kinds[key] = _kind(*key)
+                kind.append(got)
+            sizes.append(len(toks))
+        names = [_word(w) for w in code]
+        hashes = _hash(names)
+        return np.array(at, np.int64), np.array(kind, "U1"), np.array(sizes, np.int64), hashes, names
+
+    def run(batches):
+        for pdf in batches:
+            bodies = pdf.body.tolist()
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def add(keys: np.ndarray, ended: np.ndarray, weight: np.ndarray | None = None) -> None:
+                keep = wanted(keys)
+                w = np.ones(len(keys), np.int64) if weight is None else weight
+                found.append((keys[keep], np.where(ended, w, 0)[keep], np.where(ended, 0, w)[keep]))
+
+            at, kind, sizes, hashes, names = words(bodies)
+            if len(at):
+                h = hashes[at]
+                start = np.cumsum(sizes) - sizes
+                pos = np.arange(len(at)) - np.repeat(start, sizes)
+                real, ended = kind != "e", kind == "f"
+                add(_mix(_W[0], h[real]), ended[real])
+                two, three = np.flatnonzero(real & (pos > 0)), np.flatnonzero(real & (pos > 1))
+                add(_mix(_W[1], h[two - 1], h[two]), ended[two])
+                add(_mix(_P, h[two - 1]), ended[two])
+                add(_mix(_W[2], h[three - 2], h[three - 1], h[three]), ended[three])
+                # last letters of the words, against the same letters within words
+                often = np.bincount(at[real], minlength=len(names))
+                s_end: Counter[str] = Counter()
+                s_in: Counter[str] = Counter()
+                for w, times in zip(names, often.tolist()):
+                    if times and w[0] != "<":
+                        s_end[w[-3:]] += times
+                        for j in range(len(w) - 3):
+                            s_in[w[j : j + 3]] += times
+                for c, flag in ((s_end, True), (s_in, False)):
+                    if c:
+                        add(_mix(_S, _hash(list(c))), np.full(len(c), flag), np.array(list(c.values()), np.int64))
+            # Chinese: windows of two to four characters that end within a run or at its end, not at the end of the text
+            joined = "\n".join(bodies) + "\n"
+            chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            han = ((chars >= 0x3400) & (chars <= 0x9FFF)) | ((chars >= 0xF900) & (chars <= 0xFAFF))
+            if han.any():
+                ends_text = np.zeros(len(chars), bool)
+                ends_text[np.cumsum([len(b) + 1 for b in bodies]) - 1] = True  # the line end behind each text
+                run_length = np.arange(len(chars)) - np.maximum.accumulate(np.where(han, -1, np.arange(len(chars))))
+                last = np.flatnonzero(han & ~np.append(ends_text[1:], True))
+                mark = np.zeros(len(chars), bool)
+                after = last + 1
+                off = after[~han[after]]
+                mark[off] = [not joined[k].isalnum() for k in off]
+                for n in (2, 3, 4):
+                    p = last[run_length[last] >= n]
+                    windows = np.stack([chars[p - n + 1 + k] for k in range(n)], axis=1).astype(np.uint64)
+                    add(_han_keys(windows, n), mark[p + 1])
+            # labelled tails: whole at the end of a text, or the beginning of a longer one anywhere
+            whole, begins = [], []
+            for body in bodies:
+                if ": " in body:
+                    m = _LABEL.search(body)
+                    if m:
+                        whole.append(m[1])
+                    for m in _LABELLED.finditer(body):
+                        a = m[1].index(": ") + 3
+                        begins += [m[1][:k] for k in range(a, len(m[1]))]
+            for c, flag in ((Counter(whole), True), (Counter(begins), False)):
+                if c:
+                    add(_mix(_T, _hash(list(c))), np.full(len(c), flag), np.array(list(c.values()), np.int64))
+            keys = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
+            if not len(keys):
+                continue
+            unique, back = np.unique(keys, return_inverse=True)
+            sums = [np.bincount(back, weights=np.concatenate([f[k] for f in found]), minlength=len(unique)).astype(np.int64) for k in (1, 2)]
+            yield pd.DataFrame({"key": unique.view(np.int64), "ended": sums[0], "went_on": sums[1]})
+
+    return run
 
 
 def _candidate_keys(batches):
     for pdf in batches:
         rows = []
-        for table_name, record_id, body in pdf.itertuples(index=False, name=None):
-            m = _LABEL.search(body)
-            keys = ending_keys(body) + (["t:" + m[1]] if m else [])
-            rows += [(table_name, record_id, k, key) for k, key in enumerate(keys)]
-        yield pd.DataFrame(rows, columns=["table_name", "record_id", "level", "key"])
+        for h, size, body in pdf.itertuples(index=False, name=None):
+            rows += [(h, size, k, key) for k, key in enumerate(ending_keys(body)) if key]
+            tail = tail_key(body)
+            if tail is not None:
+                rows.append((h, size, 9, tail))
+            if _CJK.match(body[-1:]):
+                rows.append((h, size, 8, 0))
+        out = pd.DataFrame(rows, columns=["h", "size", "level", "key"])
+        out["key"] = out["key"].to_numpy(np.uint64).view(np.int64) if len(out) else out["key"].astype("int64")
+        yield out
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """The bitmap of all keys; the driver gets its BITMAP_BITS / 64 words, whatever the number of keys."""
+    bit = keys.select(F.pmod("key", F.lit(BITMAP_BITS)).alias("b")).distinct()
+    words = bit.groupBy(F.floor(F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")).collect()
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    for r in words:
+        out[r.w] = r.v
+    return out.view(np.uint64)
+
+
+def can_end(texts: DataFrame, ask: DataFrame) -> DataFrame:
+    """(h, size, can_end) of the texts (h, size, body) of ``ask``: whether their last words can end a text, by how all
+    ``texts`` (body, each different one once) go on behind the same words."""
+    seen = cut(ask.mapInPandas(_candidate_keys, "h long, size int, level int, key long"))
+    wanted = _bitmap(seen)
+    counts = texts.select("body").mapInPandas(_count_grams(wanted), "key long, ended long, went_on long").groupBy("key").agg(F.sum("ended").alias("f"), F.sum("went_on").alias("c"))
+    known = seen.join(counts, "key", "left").fillna(0, ["f", "c"])
+    at = lambda level, col: F.coalesce(F.max(F.when(F.col("level") == level, F.col(col))), F.lit(0))
+    s = known.groupBy("h", "size").agg(*[at(k, c).alias(f"{c}{k}") for k in (0, 1, 2, 3, 4, 9) for c in "fc"], F.max(F.col("level") == 8).alias("han"))
+    both = lambda k: F.col(f"f{k}") + F.col(f"c{k}")
+    ratio = lambda k: F.col(f"f{k}") / F.greatest(both(k), F.lit(1))
+    share = (
+        F.when(both(0) >= 3, ratio(0)).when(both(1) >= 3, ratio(1)).when(both(2) >= 3, ratio(2)).when(F.col("han"), F.lit(0.0))
+        .when((both(2) >= 1) | (ratio(3) >= 0.6), ratio(4)).otherwise(0.0)
+    )
+    tail = (F.col("f9") >= TAIL_TEXTS) & (ratio(9) >= TAIL_SHARE)
+    return s.select("h", "size", ((share >= CAN_END) | tail).alias("can_end"))
 
 
 def truncated(texts: DataFrame) -> DataFrame:
@@ -176,8 +321,8 @@ def truncated(texts: DataFrame) -> DataFrame:
     A text is cut if it does not end on a final mark or closing bracket and (a) a marker of a break follows, or (b) its
     length is a hidden limit of its source, or (c) its ending cannot end a sentence: an open bracket, a comma, an unfinished
     word or path, or words that go on wherever else they occur. Null, empty and blank texts give no row. Repeated rows
-    are judged each for itself (their ids may repeat too). A null source is a source of its own. An empty table gives
-    an empty result.
+    are judged each for itself, by their text, whatever their ids (which may repeat or be null). A null source is a
+    source of its own. An empty table gives an empty result.
     """
     t = texts.where("text is not null").select(
         "table_name", F.col("record_id").cast("long").alias("record_id"), F.coalesce("source", F.lit("")).alias("source"), "text"
@@ -185,54 +330,39 @@ def truncated(texts: DataFrame) -> DataFrame:
     t = t.withColumn("stripped", F.regexp_replace("text", MARKERS, ""))
     t = t.withColumn("marker", F.char_length("stripped") < F.char_length(F.rtrim("text")))
     t = t.withColumn("broken", F.col("text").rlike(r"�\W*$")).withColumn("body", F.regexp_replace("stripped", r"\s+$", ""))
-    t = cut(t.where("body <> ''").drop("stripped"))
+    body = F.col("body")
+    marked, on_path = body.rlike(FINAL), body.rlike(r"(?:^|\s)[\w\-]+(?:/[\w\-]+)+\.?$")
+    opened = body.rlike(r"[(（\[][^)）\]\n]{0,60}$") | body.rlike(r"(?:^|[^`])`[^`\n]{1,60}$") & (F.regexp_count("body", F.lit("`")) % 2 == 1)
+    # everything that is read off a text is read once
+    t = cut(
+        t.where("body <> ''").select(
+            "table_name", "record_id", "source", "marker", "broken", "body", F.xxhash64("body").alias("h"), F.char_length("body").alias("size"),
+            F.when(~marked, F.xxhash64(F.right(F.regexp_replace("body", r"[0-9]+", "0"), F.lit(12)))).alias("tail"), (marked & ~on_path).alias("final"),
+            (opened | body.rlike(r"[,，、;；:：/\-]$") | on_path).alias("broken_off"), F.array(*[v.cast("int") for v in measures(body).values()]).alias("lengths"),
+        )
+    )
     limit = F.struct(~F.col("top"), -F.col("piled"), *[F.col(c) for c in ("part", "measure", "limit_at", "top")])
     of_source = lambda df, x: df.groupBy("source").agg(F.sort_array(F.collect_list(x)).alias("limits"))
-    m = F.create_map(*[x for k, v in measures(F.col("body")).items() for x in (F.lit(k), v.cast("int"))])
-    t2 = t.withColumn("lengths", m)
+    names = F.array(*[F.lit(k) for k in measures(F.lit(""))])
 
     def reached(x: Column) -> Column:
-        length, here = F.try_element_at("lengths", x["measure"]), (x["part"] == "") | (x["part"] == F.col("table_name"))
+        length, here = F.get("lengths", F.array_position(names, x["measure"]).cast("int") - 1), (x["part"] == "") | (x["part"] == F.col("table_name"))
         return here & (length >= x["limit_at"] - SLACK) & (x["top"] | (length <= x["limit_at"]))
 
     # One pile shows in several measures and at lengths close by: a limit must have texts that no larger pile has.
     hits = F.filter("limits", reached)
-    every = t2.where(~F.col("body").rlike(FINAL)).join(of_source(hidden_limits(t), limit), "source")
-    every = every.select("source", F.xxhash64("body").alias("h"), F.posexplode(hits).alias("k", "x"))
+    every = t.where(F.col("tail").isNotNull()).select("source", "table_name", "h", "lengths").join(of_source(hidden_limits(t), limit), "source")
+    every = every.select("source", "h", F.posexplode(hits).alias("k", "x"))
     own = every.groupBy("source", "x").agg(F.count_distinct("h").alias("n"), F.count_distinct(F.when(F.col("k") == 0, F.col("h"))).alias("own"))
     own = own.where(F.col("x.top") | (F.col("own") >= PILE_TEXTS) & (F.col("own") * 2 >= F.col("n")))
-    t2 = t2.join(of_source(own, F.col("x")), "source", "left")
+    limits = cut(of_source(own, F.col("x")))
+    t2 = t.join(limits, "source", "left")
     t2 = t2.withColumn("hit", F.get(hits, F.lit(0))).withColumn("at_limit", F.col("hit").isNotNull())
     shown = F.coalesce("hit", F.get("limits", F.lit(0)))
     t2 = t2.withColumn("measure", shown["measure"]).withColumn("limit_at", shown["limit_at"])
-    path = r"(?:^|\s)[\w\-]+(?:/[\w\-]+)+\.?$"
-    final = F.col("body").rlike(FINAL) & ~F.col("body").rlike(path)
-    opened = F.col("body").rlike(r"[(（\[][^)）\]\n]{0,60}$") | F.col("body").rlike(r"(?:^|[^`])`[^`\n]{1,60}$") & (F.regexp_count("body", F.lit("`")) % 2 == 1)
-    broken_off = opened | F.col("body").rlike(r"[,，、;；:：/\-]$") | F.col("body").rlike(path)
-    t2 = t2.withColumn("final", final).withColumn("broken_off", broken_off)
-    ask = t2.where("not final and not broken_off and not marker and not at_limit and not broken").select("table_name", "record_id", "body")
-    counts = t.select("body").mapInPandas(_count_grams, "key string, ended long, went_on long").groupBy("key").agg(F.sum("ended").alias("f"), F.sum("went_on").alias("c"))
-    seen = ask.distinct().mapInPandas(_candidate_keys, "table_name string, record_id long, level int, key string")
-    known = seen.join(counts, "key", "left").fillna(0, ["f", "c"])
-    pick = lambda prefix, col: F.max(F.when(F.col("key").startswith(prefix), F.col(col)))
-    at = lambda level, col: F.max(F.when((F.col("level") == level) & ~F.col("key").startswith("t:"), F.col(col)))
-    s = known.groupBy("table_name", "record_id").agg(
-        *[at(k, c).alias(f"{c}{k}") for k in (0, 1, 2) for c in "fc"],
-        F.max(F.col("key").startswith("h4:")).alias("han"),
-        pick("s:", "f").alias("sf"), pick("s:", "c").alias("sc"), pick("p:", "f").alias("pf"), pick("p:", "c").alias("pc"),
-        pick("t:", "f").alias("tails"),
-    )
-    ratio = lambda f, c: F.col(f) / F.greatest(F.col(f) + F.col(c), F.lit(1))
-    share = (
-        F.when(F.col("f0") + F.col("c0") >= 3, ratio("f0", "c0"))
-        .when(F.col("f1") + F.col("c1") >= 3, ratio("f1", "c1"))
-        .when(F.col("f2") + F.col("c2") >= 3, ratio("f2", "c2"))
-        .when(F.col("han"), F.lit(0.0))
-        .when((F.col("f2") + F.col("c2") >= 1) | (ratio("sf", "sc") >= 0.6), ratio("pf", "pc"))
-        .otherwise(0.0)
-    )
-    s = s.select("table_name", "record_id", (F.coalesce(share >= CAN_END, F.lit(False)) | F.coalesce(F.col("tails") >= 3, F.lit(False))).alias("can_end"))
-    r = t2.join(s, ["table_name", "record_id"], "left")
+    ask = t2.where("not final and not broken_off and not marker and not at_limit and not broken").select("h", "size", "body").dropDuplicates(["h", "size"])
+    different = t.groupBy("h", "size").agg(F.min("body").alias("body"))
+    r = t2.drop("body", "lengths", "limits", "hit", "tail").join(can_end(different, ask), ["h", "size"], "left")
     is_cut = F.col("broken") | (~F.col("final") & (F.col("marker") | F.col("at_limit") | F.col("broken_off") | ~F.coalesce("can_end", F.lit(True))))
     return r.select(
         "table_name", "record_id", F.nullif("source", F.lit("")).alias("source"), is_cut.alias("is_cut"), "marker", "at_limit", "measure", "limit_at", "can_end"
