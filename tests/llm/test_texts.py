@@ -200,6 +200,37 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_endings_are_judged_by_the_text_not_the_id(spark):
+    full = [f"The lock file {v} the {o} {w}." for v in ("moved", "merged", "kept") for o in ("cold partition", "public contract", "empty batch") for w in ("behind the proxy", "after the restart", "on a fresh checkout")]
+    rows = [("t", 7 + k // 9, "s", x) for k, x in enumerate(full)]
+    rows += [("t", 7, "s", "The lock file moved the cold"), ("t", 7, "s", "The lock file kept the empty batch after the restart"), ("t", None, "s", "The lock file merged the public")]
+    # a labelled tail that recurs is whole, a cut one that recurs is not
+    rows += [("t", 100 + k, f"s{k}", f"The worker {k} was moved. Next: deploy canary") for k in range(4)] + [("t", 200 + k, f"s{k}", f"The worker {k} was kept. Next: restart the spo") for k in range(3)]
+    rows += [("t", 300 + k, f"s{k}", f"The worker {k} was merged. Next: restart the spool reader.") for k in range(5)]
+    df = spark.createDataFrame(rows, "table_name string, record_id long, source string, text string")
+    got = truncation.truncated(df).collect()
+    assert len(got) == len(rows)
+    cut = {r.record_id for r in got if r.is_cut}
+    assert sum(r.record_id == 7 and r.is_cut for r in got) == 1 and None in cut
+    assert cut - {7, None} == {200, 201, 202}
+
+
+def test_hashed_keys_count_as_plain_ones():
+    from weftline.llm.truncation import _count_grams, _kind, ending_keys
+    import numpy as np
+    import pandas as pd
+
+    assert [_kind(g, z) for g, z in ((" ", False), (". ", False), ("", True), ("。", False), (" (", False), ("\n", True), ("...", True), ("   ", False))] == ["c", "f", "e", "f", "f", "f", "f", "c"]
+    bodies = ["the cat sat. the cat ran", "the cat sat, then", "移動檔案。移動檔案了", "see the cat sat"]
+    every = np.full(1 << 17, 2**64 - 1, np.uint64)
+    out = pd.concat(list(_count_grams(every)(iter([pd.DataFrame({"body": bodies})]))))
+    count = {int(k) & (2**64 - 1): (e, w) for k, e, w in out.itertuples(index=False, name=None)}
+    three, two, one, _, _ = ending_keys("the cat sat")
+    assert count[three] == count[two] == count[one] == (2, 0)  # the last one ends its text
+    assert count[ending_keys("the cat")[1]] == (0, 4)
+    assert count[ending_keys("移動檔案")[0]] == (1, 1)
+
+
 def test_limits_below_the_longest_text(spark):
     rnd = random.Random(9)
     words = [a + b for a in ("bar", "cor", "del", "fin", "gal", "hom") for b in ("ane", "ist", "ow", "ure", "ling", "et")]

@@ -37,7 +37,8 @@ _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "f": "s", "c": "e", "q": "g
 _WORD = re.compile(r"[^\W_]+")
 # Endings of host names; those of two letters that are words as well need a hyphen, a path or a line end.
 _ENDINGS = "com|net|org|info|biz|edu|gov|mil|name|shop|store|online|site|web|app|dev|co|io|tv|eu|uk|fr|nl|pl|cz|dk|se|ru|cn|jp|br|mx|invalid|example|test"
-_HOST = rf"[a-z0-9]+(?:-[a-z0-9]+)*(?:\.[a-z0-9]+(?:-[a-z0-9]+)*)*\.(?:{_ENDINGS})\b(?!\.\s)|[a-z0-9]+(?:-[a-z0-9]+)+\.[a-z]{{2}}(?![^\W_]|\.\w)|\b[a-z0-9-]{{2,}}\.[a-z]{{2,3}}/\w"
+# each form begins at its dot or hyphen, so that a page is searched in one pass
+_HOST = rf"(?<=[a-z0-9])\.(?:{_ENDINGS})\b(?!\.\s)|(?<=[a-z0-9])-[a-z0-9]+\.[a-z]{{2}}(?![^\W_]|\.\w)|(?<=[a-z0-9-]{{2}})\.[a-z]{{2,3}}/\w"
 _LINK = re.compile(_HOST + r"|\w{3,5}\s?[:;]\s?//|www\s?[.,]|\w[\w-]*\.(?:\w[\w-]*\.)*(?:co|com|net|org|invalid|inval\w+|exa\w+|[tf]est)\b(?!\.\s)|\.php|\w+\.[\w-]+\.\w{3,}|[?&]?\bid=\d", re.I)
 _PATH_END = re.compile(r"[a-z]/\d|/\s*$|[-\w]+/[-\w]+/|[-a-z]+/[-a-z]+-")
 _MENU = re.compile(r"\s(?:>+|»|›|→|::|\||/|·|•|\*|~|=>|->|\\)(?=\s|$)")
