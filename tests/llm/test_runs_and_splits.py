@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.llm import runs
 from weftline.llm.runs import canonical_tool, collapse_runs
 from weftline.llm.splitting import split_bytes, split_oversized
 
@@ -109,3 +110,14 @@ def test_split_oversized_table(spark):
     text = "word " * 50
     assert all(text.encode()[r.start_byte : r.end_byte].decode() == r.text for r in got)
     assert split_oversized(items.limit(0), limits).count() == 0
+
+
+def test_single_events_and_ignored_rows_stand_as_they_are(spark):
+    rows = [("s", 0, "Bash", 7), ("s", 5, "bash #2", 8), ("s", 5, "bash", 3), ("s", 9, "Read", 4), (None, 9, "Read", 5), ("s", None, "Read", 6), ("s", 11, None, 9), ("s", 12, "  ", None), ("s", 20, "Edit", None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "session_id string, transcript_offset long, tool_name string, event_id long, tool string")
+    got = {tuple(r) for r in runs.collapse_runs(df, firsts=True).collect()}
+    assert got == {
+        ("s", "bash", 0, 5, 2, None, 7, "Bash"), ("s", "read", 9, 9, 1, None, 4, "Read"), ("s", "edit", 20, 20, 1, None, None, "Edit"),
+        (None, None, 9, 9, 1, None, 5, "Read"), ("s", None, None, None, 1, None, 6, "Read"), ("s", None, 11, 11, 1, None, 9, None), ("s", None, 12, 12, 1, None, None, "  "),
+    }
+    assert runs.collapse_runs(df.limit(0), firsts=True).count() == 0

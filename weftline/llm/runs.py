@@ -34,14 +34,14 @@ def canonical_tool(c: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
-_RUN = "chunk int, pos long, first_run boolean, last_run boolean, seq string, tool string, first_offset long, last_offset long, n_events long, t_first long, t_last long"
+_RUN = "chunk int, pos long, first_run boolean, last_run boolean, seq string, tool string, first_offset long, last_offset long, n_events long, t_first long, t_last long, first_id long, first_name string"
 
 
 def _encode(batches):
     """Runs of one chunk, in order; the first and last are marked. Rows come sorted by (seq, offset, id);
     of rows with one (seq, offset) the first counts."""
     chunk, pos, seen, held = TaskContext.get().partitionId(), 0, None, None
-    cols = ["seq", "tool", "first_offset", "last_offset", "n_events", "t_first", "t_last"]
+    cols = ["seq", "tool", "first_offset", "last_offset", "n_events", "t_first", "t_last", "first_id", "first_name"]
 
     def out(df: pd.DataFrame, last: bool) -> pd.DataFrame:
         nonlocal pos
@@ -83,13 +83,16 @@ def _encode(batches):
                 "n_events": end - at + 1,
                 "t_first": times.min(),
                 "t_last": times.max(),
+                "first_id": pdf.id.to_numpy(np.int64)[at],
+                "first_name": pdf.name.to_numpy(object)[at],
             }
         )
         if held is not None:
             a, b = held.iloc[0], runs.iloc[0]
             if a.seq == b.seq and a.tool == b.tool:
                 ts = [x for x in (a.t_first, a.t_last, b.t_first, b.t_last) if not pd.isna(x)]
-                runs.loc[0, "first_offset"] = a.first_offset
+                for c in ("first_offset", "first_id", "first_name"):
+                    runs.loc[0, c] = a[c]
                 runs.loc[0, "n_events"] = a.n_events + b.n_events
                 if ts:
                     runs.loc[0, "t_first"], runs.loc[0, "t_last"] = min(ts), max(ts)
@@ -109,6 +112,7 @@ def collapse_runs(
     tool: str = "tool_name",
     row_id: str = "event_id",
     time_millis: Column | None = None,
+    firsts: bool = False,
 ) -> DataFrame:
     """One row per longest stretch of consecutive events of a sequence with the same tool.
 
@@ -116,7 +120,9 @@ def collapse_runs(
     (last minus first known time of the stretch; null if none of its events has a time), a single event
     being a stretch of one. Rows with a null sequence, offset or tool are ignored; rows with the same
     sequence and offset are one event, that of the smallest id (nulls last) if their tools differ. An
-    empty table gives an empty result; further columns are ignored. Long and hot sequences are whole.
+    empty table gives an empty result; further columns are ignored. Long and hot sequences are whole. With
+    ``firsts``, the id and the name of the first event of each stretch follow, as the writer gave them, so that single
+    events stand as they are; and rows that are ignored above follow as stretches of one, without a tool.
     """
     t = (time_millis if time_millis is not None else F.lit(None)).cast("long")
     events = (
@@ -126,14 +132,16 @@ def collapse_runs(
             canonical_tool(F.col(tool)).alias("tool"),
             F.coalesce(F.col(row_id).cast("long"), F.lit(2**63 - 1)).alias("id"),
             t.alias("t"),
+            (F.col(tool) if firsts else F.lit(None)).cast("string").alias("name"),
         )
         .where("seq is not null and offset is not null and tool is not null")
         .groupBy("seq", "offset", "tool")  # copies collapse before the shuffle
-        .agg(F.min("id").alias("id"), F.min("t").alias("t"))
+        .agg(F.min(F.struct("id", "name")).alias("f"), F.min("t").alias("t"))
+        .select("seq", "offset", "tool", "f.id", "t", "f.name")
     )
     sorted_chunks = events.repartitionByRange("seq", "offset").sortWithinPartitions("seq", "offset", "id", "tool")
     runs = cut(sorted_chunks.mapInPandas(_encode, _RUN))
-    keep = ["seq", "tool", "first_offset", "last_offset", "n_events", "t_first", "t_last"]
+    keep = ["seq", "tool", "first_offset", "last_offset", "n_events", "t_first", "t_last", "first_id", "first_name"]
     inner = runs.where("not first_run and not last_run").select(*keep)
     # At most two summaries a chunk: the merge runs over as many rows as there are chunks, not events.
     order = Window.orderBy("chunk", "pos")
@@ -152,12 +160,23 @@ def collapse_runs(
         F.sum("n_events").alias("n_events"),
         F.min("t_first").alias("t_first"),
         F.max("t_last").alias("t_last"),
+        F.min_by("first_id", "first_offset").alias("first_id"),
+        F.min_by("first_name", "first_offset").alias("first_name"),
     )
-    return inner.unionByName(merged.select(*keep)).select(
+    out = inner.unionByName(merged.select(*keep)).select(
         F.col("seq").alias(seq),
         "tool",
         "first_offset",
         "last_offset",
         "n_events",
         (F.col("t_last") - F.col("t_first")).alias("duration_ms"),
+        F.nullif("first_id", F.lit(2**63 - 1)).alias(row_id),
+        F.col("first_name").alias(tool),
     )
+    if not firsts:
+        return out.drop(row_id, tool)
+    one = df.where(F.col(seq).isNull() | F.col(offset).isNull() | canonical_tool(F.col(tool)).isNull())
+    at = F.col(offset).cast("long")
+    none = F.lit(None).cast("string").alias("tool")
+    rest = one.select(seq, none, at.alias("first_offset"), at.alias("last_offset"), F.lit(1).cast("long").alias("n_events"), F.lit(None).cast("long").alias("duration_ms"), F.col(row_id).cast("long").alias(row_id), tool)
+    return out.unionByName(rest)
