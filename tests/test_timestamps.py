@@ -57,19 +57,22 @@ def test_all_readings(spark):
     assert not spark.createDataFrame([("2025-01-08T12:16:24.099Z ",)], "x string").select(is_normal(F.col("x")).alias("n")).first().n
 
 
+C = V.Costs(None, "both")
+
+
 def brute(states):
     best, path = None, None
     for choice in itertools.product(*[range(len(s[1])) for s in states]):
         c = V.LATER_CHOICE * choice[0]
         for (a, i), (b, j) in zip(zip(states, choice), list(zip(states, choice))[1:]):
-            c += V._step(a, b)[i, j]
+            c += C.step(a, b)[i, j]
         if best is None or c < best - 1e-12:
             best, path = c, list(choice)
     return best, path
 
 
 def cost(states, path):
-    return V.LATER_CHOICE * path[0] + sum(V._step(a, b)[i, j] for a, b, i, j in zip(states, states[1:], path, path[1:]))
+    return V.LATER_CHOICE * path[0] + sum(C.step(a, b)[i, j] for a, b, i, j in zip(states, states[1:], path, path[1:]))
 
 
 def test_decoding_equals_brute_force_however_it_is_cut():
@@ -80,19 +83,36 @@ def test_decoding_equals_brute_force_however_it_is_cut():
             k = rnd.choice([1, 1, 2, 3])
             states.append(([rnd.choice("abc") for _ in range(k)], [rnd.randrange(10) * 100_000 for _ in range(k)]))
         best, _ = brute(states)
-        assert cost(states, V._decode(states, None, None)) == pytest.approx(best)
+        assert cost(states, V._decode(states, C, None, None)) == pytest.approx(best)
         # cut into segments, chained by their matrices, each decoded with its fixed ends
         cuts = sorted(rnd.sample(range(1, len(states)), min(len(states) - 1, rnd.randint(0, 3)))) if len(states) > 1 else []
         parts = [states[a:b] for a, b in zip([0, *cuts], [*cuts, len(states)])]
-        rows = [dict(chunk=c, segment=0, source="s", fa=p[0][0], ta=p[0][1], fb=p[-1][0], tb=p[-1][1], cost=V._matrix(p).ravel().tolist()) for c, p in enumerate(parts)]
-        fixed = V._chain(rows)
+        rows = [dict(chunk=c, segment=0, source="s", fa=p[0][0], ta=p[0][1], fb=p[-1][0], tb=p[-1][1], cost=V._matrix(p, C).ravel().tolist()) for c, p in enumerate(parts)]
+        fixed = V._chain(rows, C)
         path = []
         for c, p in enumerate(parts):
             i, j = fixed.get((c, "s"), (None, None))
-            path += V._decode(p, i, j)
+            path += V._decode(p, C, i, j)
         assert cost(states, path) == pytest.approx(best)
 
 
+def test_rules_outweigh_the_order(spark):
+    # the order would have the month first and the later of two equal times; the rules have it otherwise
+    texts = [f"{m:02d}/28/2025 10:00:00" for m in range(1, 6)] + ["06/03/2025 10:00:00", "07/03/2025 10:00:00"] + ["2025-10-26T02:10:00Z", "2025-10-26 02:30:00", "2025-10-26 03:30:00"]
+    df = spark.createDataFrame([("t", k, x, "h", "c", 1) for k, x in enumerate(texts)], RECORDS)
+    zones = spark.createDataFrame([("h", "Europe/Berlin")], ZONES)
+    got = {r.record_id: r for r in V.normalise_timestamps(df, zones, chunk_rows=2).collect()}
+    assert all(got[k].utc_millis is None and got[k].n_readings == 0 for k in range(5))
+    assert (got[5].utc_millis, got[6].utc_millis) == (utc(2025, 3, 6, 9), utc(2025, 3, 7, 9)) and got[5].n_readings == 2
+    assert got[8].utc_millis == utc(2025, 10, 26, 0, 30) and got[8].n_readings == 2
+    free = {r.record_id: r.utc_millis for r in V.normalise_timestamps(df, zones, day_first=None, fold="both").collect()}
+    assert free[5] == utc(2025, 6, 3, 8) and free[0] == utc(2025, 1, 28, 9)
+    month = {r.record_id: r.utc_millis for r in V.normalise_timestamps(df, zones, day_first=False).collect()}
+    assert month[5] == utc(2025, 6, 3, 8) and month[4] == utc(2025, 5, 28, 8) and month[8] == utc(2025, 10, 26, 0, 30)
+    swapped = spark.createDataFrame([("t", 1, "28/05/2025 10:00:00", "h", "c", 1)], RECORDS)
+    assert V.normalise_timestamps(swapped, zones, day_first=False).first().utc_millis is None
+
+
 def test_viterbi_over_chunks(spark):
     # one source writes month first throughout, with days that only sometimes show it
     rows, want = [], {}

@@ -134,6 +134,7 @@ def with_interpretations(
             after = F.unix_millis(later) - 3 * 3600_000
             same = F.from_utc_timestamp(F.timestamp_millis(after), zone) == wall.cast("timestamp")
             twice = (after > F.unix_millis(at)) & same
+            twice = F.when(zone.contains("/"), twice)  # an offset has no hour that comes again
             found.append(F.when(twice, F.struct(F.concat(form, F.lit("/later")).alias("form"), (after + F.col("_t_ms")).alias("millis"))))
         return found
 

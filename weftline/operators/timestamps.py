@@ -1,7 +1,9 @@
 """Mixed timestamp formats and zones to one UTC instant per record.
 
 All valid interpretations of a value are generated in the JVM; a Viterbi pass over each source's record
-order picks one per value, at the least cost of format switches and backward time jumps.
+order picks one per value, at the least cost of format switches and backward time jumps. Rules (day before month,
+the earlier of two equal local times) are costs as well, far above all others, so a reading against a rule is
+chosen only where the rule leaves none, and then it counts as none.
 
 The order is cut into range-sorted chunks, so one source may hold any share of the rows. A row with one
 reading separates what is before it from what is after it, so a chunk decodes all that lies between two such
@@ -25,42 +27,58 @@ from weftline.session import stored
 
 #: Costs of a change of format, of a jump back in time by more than SLACK_MS, and of a less preferred reading.
 SWITCH, BACK, LATER_CHOICE, SLACK_MS = 1.0, 2.0, 1e-3, 60_000
+#: Cost of a reading against a rule: more than all switches and jumps of its neighbours together.
+RULE = 1e6
+#: Rows of a chunk, about: what one task sorts and holds.
+CHUNK_ROWS = 2_000_000
 
 State = tuple[list[str], list[int]]  # formats and instants of one row's interpretations
 
 
-def _step(a: State, b: State) -> np.ndarray:
-    """Cost of going from each state of one row to each state of the next, the own cost of b included."""
-    fa, ta = a
-    fb, tb = b
-    c = np.zeros((len(ta), len(tb)))
-    for i, j in itertools.product(range(len(ta)), range(len(tb))):
-        c[i, j] = SWITCH * (fa[i] != fb[j]) + BACK * (tb[j] < ta[i] - SLACK_MS) + LATER_CHOICE * j
-    return c
+def breaks_rule(form: str, day_first: bool | None, fold: str) -> bool:
+    """Whether a reading of this format goes against the rules: ``/mdy`` marks the month read first, ``/later`` the later
+    of two equal local times."""
+    swapped = day_first is True and "/mdy" in form or day_first is False and form.startswith("dmy/") and "/mdy" not in form
+    return swapped or fold == "earlier" and "/later" in form
 
 
-def _own(a: State) -> np.ndarray:
-    return LATER_CHOICE * np.arange(len(a[1]))
+class Costs:
+    """Costs of readings and of steps between them, under given rules."""
 
+    def __init__(self, day_first: bool | None, fold: str) -> None:
+        self.day_first, self.fold = day_first, fold
 
-def _matrix(states: list[State]) -> np.ndarray:
+    def own(self, a: State) -> np.ndarray:
+        return np.array([LATER_CHOICE * j + RULE * breaks_rule(f, self.day_first, self.fold) for j, f in enumerate(a[0])])
+
+    def step(self, a: State, b: State) -> np.ndarray:
+        """Cost of going from each state of one row to each state of the next, the own cost of b included."""
+        fa, ta = a
+        fb, tb = b
+        c = np.tile(self.own(b), (len(ta), 1))
+        for i, j in itertools.product(range(len(ta)), range(len(tb))):
+            c[i, j] += SWITCH * (fa[i] != fb[j]) + BACK * (tb[j] < ta[i] - SLACK_MS)
+        return c
+
+
+def _matrix(states: list[State], costs: Costs) -> np.ndarray:
     """Least cost from each state of the first row to each state of the last. Single rows in between cut
     the chain: only the first and the last stretch matter for the choice of the ends."""
     k = len(states[0][1])
-    m = np.where(np.eye(k, dtype=bool), _own(states[0])[:, None], np.inf)
+    m = np.where(np.eye(k, dtype=bool), costs.own(states[0])[:, None], np.inf)
     for a, b in zip(states, states[1:]):
-        m = (m[:, :, None] + _step(a, b)[None]).min(axis=1)
+        m = (m[:, :, None] + costs.step(a, b)[None]).min(axis=1)
     return m
 
 
-def _decode(states: list[State], first: int | None, last: int | None) -> list[int]:
+def _decode(states: list[State], costs: Costs, first: int | None, last: int | None) -> list[int]:
     """The cheapest choice per row, ends fixed where given; the least index wins a tie."""
-    cost = _own(states[0]).copy()
+    cost = costs.own(states[0])
     if first is not None:
         cost[np.arange(len(cost)) != first] = np.inf
     back = []
     for a, b in zip(states, states[1:]):
-        step = cost[:, None] + _step(a, b)
+        step = cost[:, None] + costs.step(a, b)
         back.append(step.argmin(axis=0))
         cost = step.min(axis=0)
     j = int(cost.argmin()) if last is None else last
@@ -102,7 +120,11 @@ DECIDED, WAITING, SUMMARY = 0, 1, 2
 HEAD, TAIL, WHOLE = 0, 1, 2
 
 
-def _local(batches):
+def _local(costs: Costs):
+    return lambda batches: _chunk(batches, costs)
+
+
+def _chunk(batches, costs: Costs):
     parts = [b for b in batches if len(b)]
     if not parts:
         return
@@ -133,7 +155,7 @@ def _local(batches):
             if edge:
                 thin = _thin(pdf, lo, hi)
                 (fa, ta), (fb, tb) = thin[0], thin[-1]
-                extra.append((SUMMARY, None, None, None, None, None, None, chunk, k, None, None, pdf.source[lo], fa, ta, fb, tb, _matrix(thin).ravel().tolist()))
+                extra.append((SUMMARY, None, None, None, None, None, None, chunk, k, None, None, pdf.source[lo], fa, ta, fb, tb, _matrix(thin, costs).ravel().tolist()))
             if not open_rows[lo:hi].any():
                 continue
             stretches = [(lo, hi, WHOLE)] if not len(single) else [(lo, single[0] + 1, HEAD), *[(a, b + 1, None) for a, b in zip(single, single[1:])], (single[-1], hi, TAIL)]
@@ -149,7 +171,7 @@ def _local(batches):
                             waits[rows[r]] = True
                         extra.append((WAITING, pdf.table_name[r] if own else None, pdf.record_id[r], None, None, pdf.n_readings[r], pdf.normal[r], chunk, k, part, n, pdf.source[r], fs, ts, None, None, None))
                     continue
-                for r, choice, (fs, ts) in zip(range(a, z), _decode(states, None, None), states):
+                for r, choice, (fs, ts) in zip(range(a, z), _decode(states, costs, None, None), states):
                     form[r], millis[r] = fs[choice], ts[choice]
         base.loc[rows, "form"], base.loc[rows, "utc_millis"] = form, millis
     base = base[~waits]
@@ -160,7 +182,7 @@ def _local(batches):
         yield pd.DataFrame(extra, columns=_NAMES)
 
 
-def _chain(rows: list) -> dict[tuple[int, str], tuple[int, int]]:
+def _chain(rows: list, costs: Costs) -> dict[tuple[int, str], tuple[int, int]]:
     """End states of the segments of sources that span several chunks."""
     fixed = {}
     rows = sorted(rows, key=lambda r: (r["chunk"], r["segment"]))
@@ -174,7 +196,7 @@ def _chain(rows: list) -> dict[tuple[int, str], tuple[int, int]]:
             if k:
                 prev = group[k - 1]
                 # the own cost of the first row is in the matrix as well as in the step
-                enter = cost[:, None] + _step((prev["fb"], prev["tb"]), (r["fa"], r["ta"])) - _own((r["fa"], r["ta"]))[None]
+                enter = cost[:, None] + costs.step((prev["fb"], prev["tb"]), (r["fa"], r["ta"])) - costs.own((r["fa"], r["ta"]))[None]
                 came, total = enter.argmin(axis=0), enter.min(axis=0)
             else:
                 came, total = None, np.zeros(len(r["ta"]))
@@ -190,13 +212,13 @@ def _chain(rows: list) -> dict[tuple[int, str], tuple[int, int]]:
     return fixed
 
 
-def _waiting(fixed: dict):
+def _waiting(fixed: dict, costs: Costs):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos", kind="stable")
         part = int(pdf.part.iloc[0])
         first, last = fixed.get((int(pdf.chunk.iloc[0]), pdf.source.iloc[0]), (None, None))
         states = [(list(f), list(t)) for f, t in zip(pdf.fa, pdf.ta)]
-        path = _decode(states, first if part in (HEAD, WHOLE) else None, last if part in (TAIL, WHOLE) else None)
+        path = _decode(states, costs, first if part in (HEAD, WHOLE) else None, last if part in (TAIL, WHOLE) else None)
         pdf = pdf.assign(form=[f[c] for (f, _), c in zip(states, path)], utc_millis=[t[c] for (_, t), c in zip(states, path)])
         return pdf[pdf.table_name.notna()][["table_name", "record_id", "utc_millis", "form", "n_readings", "normal"]]
 
@@ -204,10 +226,12 @@ def _waiting(fixed: dict):
 
 
 def normalise_timestamps(
-    records: DataFrame, zones: DataFrame, day_first: bool | None = True, fold: str = "earlier", keep_normal: bool = True
+    records: DataFrame, zones: DataFrame, day_first: bool | None = True, fold: str = "earlier", keep_normal: bool = True,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One row per record of (table_name, record_id, time_text, source): table_name, record_id, utc_millis,
-    form, n_readings; utc_millis and form are null where the text names no instant (n_readings 0).
+    form, n_readings; utc_millis and form are null where the text names no instant (n_readings 0). Readings are counted
+    before the rules choose among them; a text all of whose readings break a rule has none.
 
     ``zones`` (writer_host, zone_id) gives the clock zone of a source; hosts that are missing, null or listed
     with a null zone have none (of several, the least counts). Sources are ordered by record_id within a
@@ -219,8 +243,20 @@ def normalise_timestamps(
     rows = records.select("table_name", F.col("record_id").cast("long").alias("record_id"), "time_text", "source").join(z, "source", "left")
     rows = rows.withColumn("source", F.concat_ws("/", "table_name", F.coalesce("source", F.lit(""))))
     # sorted as raw text, so that the bounds are sampled without parsing and each text is parsed once
-    ordered = rows.repartitionByRange("source", "record_id").sortWithinPartitions("source", "record_id", "time_text")
-    read = with_interpretations(ordered, "time_text", "host_zone", "readings", day_first, fold).select(
+    key = ["source", "record_id"]
+    chunks = -(-records.count() // chunk_rows)
+    usual = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(chunks, *key) if chunks > usual else rows.repartitionByRange(*key)
+    ordered = ranged.sortWithinPartitions(*key, "time_text")
+    read = with_interpretations(ordered, "time_text", "host_zone", "readings", None, "both")
+    if day_first is not None:
+        against = (lambda f: f.contains("/mdy")) if day_first else (lambda f: f.startswith("dmy/") & ~f.contains("/mdy"))
+        lawful = F.exists("readings", lambda r: ~against(r["form"]))
+        read = read.withColumn("readings", F.when(lawful, F.col("readings")).otherwise(F.slice("readings", 1, 0)))
+    if day_first is False:  # the preferred reading comes first
+        law = F.filter("readings", lambda r: ~against(r["form"]))
+        read = read.withColumn("readings", F.array_distinct(F.concat(law, F.col("readings"))))
+    read = read.select(
         "source",
         "table_name",
         "record_id",
@@ -230,11 +266,12 @@ def normalise_timestamps(
         F.when(F.size("readings") > 1, F.col("readings")).alias("more"),
         is_normal(F.col("time_text")).alias("normal"),
     )
-    local = stored(read.mapInPandas(_local, _LOCAL))
-    fixed = _chain(local.where(F.col("kind") == SUMMARY).select("chunk", "segment", "source", "fa", "ta", "fb", "tb", "cost").collect())
+    costs = Costs(day_first, fold)
+    local = stored(read.mapInPandas(_local(costs), _LOCAL))
+    fixed = _chain(local.where(F.col("kind") == SUMMARY).select("chunk", "segment", "source", "fa", "ta", "fb", "tb", "cost").collect(), costs)
     out = ["table_name", "record_id", "utc_millis", "form", "n_readings", "normal"]
     late = local.where(F.col("kind") == WAITING).groupBy("chunk", "segment", "part").applyInPandas(
-        _waiting(fixed), "table_name string, record_id long, utc_millis long, form string, n_readings int, normal boolean"
+        _waiting(fixed, costs), "table_name string, record_id long, utc_millis long, form string, n_readings int, normal boolean"
     )
     done = local.where(F.col("kind") == DECIDED).select(*out).unionByName(late)
     return (done if keep_normal else done.where(~F.col("normal"))).drop("normal")

@@ -33,6 +33,17 @@ def p4_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_timestamps(timed_records(spark, sf_dir), table(spark, sf_dir, "host_zones"))
 
 
+def p4_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instant of every record, those in the normal form included."""
+    return p4_normalised(spark, sf_dir).select("table_name", "record_id", "utc_millis")
+
+
+def p4_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per table how many records have more than one reading, among which the Viterbi pass chooses."""
+    r = p4_normalised(spark, sf_dir).groupBy("table_name")
+    return r.agg(F.count("*").alias("records"), F.count_if(F.col("n_readings") > 1).alias("with_choice"), F.count_if(F.col("n_readings") == 0).alias("without"))
+
+
 def p4_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without the rules for day and month and for local times that occur twice: Viterbi decides."""
     records = timed_records(spark, sf_dir)
@@ -79,3 +90,8 @@ u AS (SELECT table_name, record_id, epoch_us(wall) // 1000 - minutes * 60000 + C
 UNION ALL SELECT table_name, record_id, epoch_us(CASE WHEN timezone(named, i) = wall THEN least(i, c) WHEN timezone(named, c) = wall THEN c ELSE i END) // 1000 + CASE WHEN ms = '000' OR ms = '' THEN 0 ELSE TRY_CAST(ms AS INT) END FROM n
 UNION ALL SELECT table_name, record_id, CASE length(x) WHEN 10 THEN TRY_CAST(x AS BIGINT) * 1000 ELSE TRY_CAST(substr(x, 1, 13) AS BIGINT) END FROM p WHERE regexp_matches(x, '^(\d{{10}}|\d{{13}}|\d{{16}}|\d{{19}})$'))
 SELECT table_name, record_id::BIGINT AS record_id, utc_millis::BIGINT AS utc_millis FROM u WHERE utc_millis IS NOT NULL"""
+
+_ALL = """SELECT 'thin_events' AS table_name, event_id AS record_id, timestamp_text AS x FROM thin_events UNION ALL SELECT 'stop_sentinels', sentinel_id, timestamp_text FROM stop_sentinels
+UNION ALL SELECT 'sealed_manifest', entry_id, moved_at FROM sealed_manifest"""
+P4_INSTANTS_SQL = rf"""SELECT a.table_name, a.record_id, coalesce(f.utc_millis, CASE WHEN regexp_full_match(x, '\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}}Z') THEN epoch_ms(TRY_CAST(x AS TIMESTAMPTZ)) END) AS utc_millis
+FROM ({_ALL}) a LEFT JOIN ({P4_FOUND_SQL}) f ON f.table_name = a.table_name AND f.record_id = a.record_id"""
