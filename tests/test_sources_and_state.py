@@ -18,6 +18,11 @@ def test_transcripts_plain_and_compressed(spark, tmp_path):
     df = transcripts.read_transcripts(spark, str(tmp_path), max_stored=4000)
     got = {k: [r.value for r in sorted(v, key=lambda r: r.line_no)] for k, v in _by(df.collect(), "path").items()}
     assert {k.rsplit("/", 1)[1]: len(v) for k, v in got.items()} == {"a.jsonl": 3, "b.jsonl": 2}
+    assert sorted(r.line_no for r in df.collect() if r.path.endswith("a.jsonl")) == [0, 1, 2]
+    Path(tmp_path, "damaged.jsonl.zst").write_bytes(b"no zstd at all")
+    Path(tmp_path, "bomb.jsonl.zst").write_bytes(zstandard.compress(b"0" * 100_000))
+    refused = {r.path.rsplit("/", 1)[1]: r.reason for r in transcripts.refused_transcripts(spark, str(tmp_path), 4000, 50_000).collect()}
+    assert refused == {"big.jsonl": "stored size", "damaged.jsonl.zst": "not readable", "bomb.jsonl.zst": "inflated size"}
     off = jsonl.with_offsets(df, ["path"], "line_no", "value")
     cwd = {r.path.rsplit("/", 1)[1]: r.cwd for r in transcripts.first_cwd(off, ["path"], "line_no", "value", "start").collect()}
     assert cwd == {"a.jsonl": "/w", "b.jsonl": "/p"}
@@ -45,8 +50,12 @@ def test_pages_and_deltas(spark):
         at = int(cursor or 0)
         return [{"id": str(k), "tags": [k]} for k in range(at, min(at + n, 450))], str(at + n) if at + n < 450 else None
 
-    assert len(list(paged.all_pages(fetch))) == 450 and len(list(paged.all_pages(fetch, cap=300))) == 300
+    assert len(list(paged.all_pages(fetch))) == 450 and len(list(paged.all_pages(fetch, cap=300))) == 450
+    rows, cursor = paged.read_some(fetch, cap=300)
+    more, end = paged.read_some(fetch, cursor, cap=300)
+    assert len(rows) == 300 and [r["id"] for r in rows + more] == [str(k) for k in range(450)] and end is None
     assert len(list(paged.all_pages(lambda c, n: ([{"id": 1}], "same"), cap=1000))) == 2
+    assert len(list(paged.all_pages(lambda c, n: ([{"id": 1}], "same"), cap=1))) == 2
     df = paged.read_paged(spark, "pages_for_test", "id string, tags string", fetch)
     assert df.count() == 450 and df.where("id = '7'").first().tags == "[7]"
     assert paged.delta(lambda t: ([t], "n1"), None) == (["*"], "n1", True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,26 +13,18 @@ from pyspark.sql import functions as F
 def window_ends(raw: bytes, start: int, end: int, max_bytes: int) -> list[tuple[int, int]]:
     """Windows of at most ``max_bytes`` over [start, end): each ends after its last newline, else before a character
     that would be divided. A character longer than the limit is a window of its own."""
-    out, at = [], max(0, min(start, len(raw)))
-    stop = max(at, min(end, len(raw)))
-    while at < stop:
-        z = min(at + max_bytes, stop)
-        if z < stop:
-            line = raw.rfind(b"\n", at, z)
-            if line >= 0:
-                z = line + 1
-            else:
-                back = z
-                while back > at and raw[back] & 0xC0 == 0x80:
-                    back -= 1
-                if back == at:
-                    while z < stop and raw[z] & 0xC0 == 0x80:
-                        z += 1
-                else:
-                    z = back
-        out.append((at, z))
-        at = z
-    return out
+    lo = min(max(start, 0), len(raw))
+    hi = min(max(end, lo), len(raw))
+    signs = np.frombuffer(raw[lo:hi], np.uint8)
+    lines = np.flatnonzero(signs == 10) + 1
+    whole = np.append(np.flatnonzero((signs & 0xC0) != 0x80), hi - lo)  # where a character begins, and the end
+    ends = [0]
+    while ends[-1] < hi - lo:
+        room = ends[-1] + max_bytes
+        last = lambda at: at[np.searchsorted(at, room, side="right") - 1] if len(at) and at[0] <= room else -1  # noqa: E731, B023
+        best = next((int(z) for z in (hi - lo if room >= hi - lo else -1, last(lines), last(whole)) if z > ends[-1]), None)
+        ends.append(int(whole[np.searchsorted(whole, ends[-1], side="right")]) if best is None else best)
+    return [(lo + a, lo + z) for a, z in zip(ends, ends[1:])]
 
 
 def byte_windows(df: DataFrame, key: str, text: str, max_bytes: int) -> DataFrame:
@@ -69,19 +62,55 @@ def greedy_fit(df: DataFrame, group: str, key: str, first: str, time: str, size:
     return whole.unionByName(d.join(full, group, "left_semi").groupBy(group).applyInPandas(run, f"{group} {t[group]}, {key} {t[key]}, {size} {t[size]}"))
 
 
-def clamp_summary(summary: str, decisions: list[str], next_steps: list[str], max_bytes: int, max_items: int = 20, max_chars: int = 4000) -> dict:
-    """A summary block of at most ``max_bytes`` of JSON: lists lose their last entries, next steps first, then the text
-    is halved until it fits."""
-    d, n, s = list(decisions)[:max_items], list(next_steps)[:max_items], summary[:max_chars]
-    cut = len(d) < len(decisions) or len(n) < len(next_steps) or len(s) < len(summary)
-    block = lambda: {"summary": s, "decisions": d, "next_steps": n, **({"truncated": True} if cut else {})}
-    over = lambda: len(json.dumps(block(), ensure_ascii=False, separators=(",", ":")).encode()) > max_bytes
-    while over() and (n or d or len(s) > 1):
-        cut = True
-        if n:
-            n = n[:-1]
-        elif d:
-            d = d[:-1]
-        else:
-            s = s[: max(1, len(s) // 2)]
-    return block()
+def _json_size(x) -> int:
+    return len(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode())
+
+
+def clamp_summary(summary: str, decisions: list[str], next_steps: list[str], max_bytes: int, max_items: int = 20, max_chars: int = 4000, pending: dict | None = None) -> dict:
+    """A summary block of at most ``max_bytes`` of JSON, with ``pending`` (a block of the same form) if it fits.
+
+    Entries are kept from the front: decisions before next steps, as many as the prefix sums of their JSON sizes leave room
+    for. A text that does not fit even alone is halved as often as it must be. A pending block is taken whole or not at
+    all, after the summary itself. ``truncated`` marks that something was left out.
+    """
+    s = summary[:max_chars]
+    lists = {"decisions": decisions[:max_items], "next_steps": next_steps[:max_items]}
+    frame = {"summary": "", "decisions": [], "next_steps": []}
+    whole = len(s) == len(summary) and len(lists["decisions"]) == len(decisions) and len(lists["next_steps"]) == len(next_steps)
+    full = {**frame, "summary": s, **lists, **({} if whole else {"truncated": True})}
+    if _json_size(full) <= max_bytes:
+        out = full
+    else:
+        room = max_bytes - _json_size({**frame, "truncated": True})
+        size = np.array([_json_size(s[: max(1, len(s) >> k)]) - 2 for k in range(len(s).bit_length() + 1)])
+        halved = int(np.argmax(size <= room)) if (size <= room).any() else len(size) - 1
+        out = {**frame, "summary": s[: max(1, len(s) >> halved)] if s else s}
+        room -= int(size[halved])
+        for name, items in lists.items():
+            taken = np.cumsum([_json_size(x) + (k > 0) for k, x in enumerate(items)]) if items else np.zeros(0, int)
+            n = int(np.searchsorted(taken, room, side="right"))
+            out[name] = items[:n]
+            room -= int(taken[n - 1]) if n else 0
+            if n < len(items):
+                break
+        out["truncated"] = True
+    if pending is not None:
+        with_it = {**out, "pending": pending}
+        out = with_it if _json_size(with_it) <= max_bytes else {**out, "truncated": True}
+    return out
+
+
+#: Bytes of the block of a prior summary.
+PRIOR_BYTES = 16 * 1024
+
+
+def clamp_prior(df: DataFrame, key: str, summary: str, decisions: str, next_steps: str, max_bytes: int = PRIOR_BYTES) -> DataFrame:
+    """(key, block): the clamped block of each row as JSON, '' for a null summary."""
+
+    def run(batches):
+        for pdf in batches:
+            texts = [json.dumps(clamp_summary(s, list(d if d is not None else []), list(n if n is not None else []), max_bytes), ensure_ascii=False, separators=(",", ":")) if s is not None else "" for s, d, n in zip(pdf.s, pdf.d, pdf.n)]
+            yield pd.DataFrame({key: pdf[key], "block": texts})
+
+    part = df.select(F.col(key).cast("long").alias(key), F.col(summary).alias("s"), F.col(decisions).alias("d"), F.col(next_steps).alias("n"))
+    return part.mapInPandas(run, f"{key} long, block string")

@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Alternates the large-star and small-star contraction, which needs O(log n) rounds even on long
     chains and emits one row per edge end, never the pairs of a neighbourhood. Both steps are a
     grouped minimum (combined before the shuffle, so a hub node does not gather its neighbours) and
-    an equi-join. Null ends and self loops are ignored; an empty edge table gives an empty result.
+    an equi-join. Null ends and self loops are ignored; an empty edge table gives an empty result. If
+    ``max_rounds`` do not settle the components, an error is raised: no unfinished result is returned.
     """
     e = (
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -43,6 +44,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         e = nxt
         if same:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     star = e.groupBy("u").agg(F.min("v").alias("component"))
     roots = star.select(F.col("component").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return star.select(F.col("u").alias("node"), "component").union(roots)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.blocks import lagged, running
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of the distinct elements of two arrays; two empty ones are equal."""
@@ -12,16 +14,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def table_checksum(df: DataFrame, key: str, row: Column, groups: int = 4096) -> DataFrame:
-    """(rows, checksum) of a table: MD5 over the MD5s of its rows in order of the key, 'empty' for none.
+def table_checksum(df: DataFrame, key: str, row: Column, group_rows: int = 10_000) -> DataFrame:
+    """(rows, checksum) of a table: MD5s of its rows, joined in order of the key, group by group; 'empty' for none.
 
-    Rows are hashed where they lie; what is ordered and joined is one digest per group of a hash of the key, then one
-    string of at most ``groups`` digests, so no task gathers the table.
+    Rows are hashed where they lie. Groups, by the first 8 hexadecimal digits of the MD5 of the key, follow the number of
+    rows, so each holds about ``group_rows``; their digests are joined in the same way, ``group_rows`` at a time, until one
+    is left. So no task gathers the table, whatever its size. Nulls in the key are one group of their own.
     """
-    d = df.select(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(groups)).alias("g"), F.col(key).alias("k"), F.md5(row).alias("h"))
-    per = d.groupBy("g").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "|")).alias("h"))
-    total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "|").alias("s"))
-    return total.select("rows", F.when(F.col("rows") == 0, "empty").otherwise(F.md5("s")).alias("checksum"))
+    groups = max(1, -(-df.count() // group_rows))
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    d = df.select((number % groups).alias("g"), F.col(key).alias("k"), F.md5(row).alias("h"), F.lit(1).cast("long").alias("n"))
+    join = lambda by: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "h"))), lambda x: x["h"]), "|")).alias("h")
+    d = d.groupBy("g").agg(F.sum("n").alias("n"), join("k"))
+    while groups > 1:
+        groups = -(-groups // group_rows)
+        d = d.select(F.floor(F.col("g") / group_rows).alias("up"), "g", "h", "n").groupBy("up").agg(F.sum("n").alias("n"), join("g")).withColumnRenamed("up", "g")
+    total = d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.max("h").alias("h"))
+    return total.select("rows", F.coalesce("h", F.lit("empty")).alias("checksum"))
 
 
 def ordered_checksum(df: DataFrame, key: str, row: Column) -> DataFrame:
@@ -51,19 +60,31 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def percentile_nearest_rank(df: DataFrame, value: str, q: float, keys: list[str]) -> DataFrame:
-    """The value at place ceil(q * n) of each group. Equal values are counted before the shuffle, so what is ordered is
-    the distinct values of a group."""
-    c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    """The value at place ceil(q * n) of each group. No group is sorted: values are counted in buckets that keep their
+    order (steps of the logarithm, some ten thousand a group), the bucket with the place is found on these counts, and
+    only its different values are ordered. Nulls do not count, NaN counts as the greatest value."""
+    v = F.col(value)
+    step = F.when(F.isnan(v.cast("double")), 2**62).otherwise(F.signum(v) * F.floor(F.log1p(F.abs(v.cast("double"))) * 4096)).cast("long")
+    d = df.where(v.isNotNull()).select(*keys, v, step.alias("_b"))
+    c = d.groupBy(*keys, "_b").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*keys)
-    c = c.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    return c.where(F.col("upto") >= F.ceil(F.col("n") * q)).groupBy(*keys).agg(F.min(value).alias("p"), F.max("n").alias("n"))
-
-
-def streaks(df: DataFrame, keys: list[str], order: list[str], cls: str) -> DataFrame:
-    """Stretches of rows of one class per key: (keys, cls, first, length), first being the order column's value."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("_new", F.when(F.lag(cls).over(w).eqNullSafe(F.col(cls)) & (F.row_number().over(w) > 1), 0).otherwise(1))
-    d = d.withColumn("_i", F.sum("_new").over(w))
+    c = c.withColumn("upto", F.sum("c").over(w.orderBy("_b"))).withColumn("n", F.sum("c").over(w)).withColumn("place", F.ceil(F.col("n") * q))
+    c = c.where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("c") < F.col("place")))
+    found = c.select(*keys, "_b", "n", (F.col("place") - F.col("upto") + F.col("c")).alias("place"))
+    on = F.lit(True)
+    for k in (*keys, "_b"):
+        on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"f.{k}"))
+    near = d.alias("d").join(found.alias("f"), on).select("d.*", "f.n", "f.place").groupBy(*keys, value, "n", "place").agg(F.count("*").alias("c"))
+    near = near.withColumn("upto", F.sum("c").over(w.orderBy(value)))
+    return near.where("upto >= place").groupBy(*keys).agg(F.min(value).alias("p"), F.max("n").alias("n"))
+
+
+def streaks(df: DataFrame, keys: list[str], order: list[str], cls: str, block: Column) -> DataFrame:
+    """Stretches of rows of one class per key: (keys, cls, first, length), first being the order column's value. A key is
+    worked on in blocks of its order (see :mod:`weftline.operators.blocks`)."""
+    d = lagged(df.select(*keys, *order, cls), keys, block, order, F.col(cls), "_before")
+    new = F.when(F.col("_before").isNotNull() & F.col("_before.v").eqNullSafe(F.col(cls)), 0).otherwise(1)
+    d = running(d, keys, block, order, new, "_i")
     return d.groupBy(*keys, "_i", cls).agg(F.min(order[0]).alias("first"), F.count("*").alias("length")).drop("_i")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.blocks import running
+
 
 def merge_ranges(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", block: int | None = None) -> DataFrame:
     """Disjoint ranges per key: ranges that overlap or touch are one; empty ones (end <= start) and nulls are dropped.
@@ -37,13 +39,17 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFra
     return j.where(F.col("blk") == F.floor(F.greatest("a_start", "b_start") / width)).drop("blk")
 
 
-def covered(candidates: DataFrame, merged: DataFrame, key: str) -> DataFrame:
-    """Candidates that lie within one merged range of their key. Merged ranges of a key are disjoint, so the only one
-    that can hold a candidate is the last that starts at or before it."""
+def covered(candidates: DataFrame, merged: DataFrame, key: str, block: int) -> DataFrame:
+    """Candidates that lie within one range of their key: those whose end is not behind the furthest end of the ranges that
+    start at or before them. A key is worked on in blocks of ``block`` starts."""
     both = candidates.select(F.col(key), "start", "end", F.lit(1).alias("_q")).unionByName(merged.select(F.col(key), "start", "end", F.lit(0).alias("_q")))
-    w = Window.partitionBy(key).orderBy("start", "_q").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.max(F.when(F.col("_q") == 0, F.col("end"))).over(w)
-    return both.withColumn("_m", upto).where((F.col("_q") == 1) & (F.col("end") <= F.col("_m"))).select(key, "start", "end")
+    at = F.floor(F.col("start") / block)
+    upto = running(both, [key], at, ["start", "_q"], F.when(F.col("_q") == 0, F.col("end")), "_m", F.max)
+    return upto.where((F.col("_q") == 1) & (F.col("end") <= F.col("_m"))).select(key, "start", "end")
+
+
+#: Bytes of a block of a transcript.
+BLOCK = 1 << 20
 
 
 def late_verdict(windows: DataFrame, seen: DataFrame, session: str = "session") -> DataFrame:
@@ -54,7 +60,9 @@ def late_verdict(windows: DataFrame, seen: DataFrame, session: str = "session")
     ends after the window's start is later.
     """
     per = seen.groupBy(session).agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"), F.min("path").alias("one"), F.max("end").alias("last"))
-    hit = windows.alias("w").join(seen.alias("s"), [session, "path"]).where("s.start <= w.start and s.end >= w.end").select(session, "path", F.col("w.start"), F.col("w.end")).distinct().withColumn("hit", F.lit(True))
+    # a seen range covers a window if the furthest end of those that start before it does: no pairs are made
+    own = lambda df: df.select(F.struct(session, "path").alias("k"), "start", "end").distinct()
+    hit = covered(own(windows), own(seen), "k", BLOCK).select(F.col(f"k.{session}").alias(session), "k.path", "start", "end", F.lit(True).alias("hit"))
     j = windows.join(per, session, "left").join(hit, [session, "path", "start", "end"], "left")
     v = (
         F.when(F.col("hit"), "ok")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.vectors import norm, normalise
+from weftline.operators.blocks import days, lagged, running
 from weftline.operators import browse, capture, mutate, quality, ranges, retrieval, state
 from weftline.session import table
 from weftline.sources import jsonl
@@ -265,10 +266,15 @@ def dimension_checksum(spark: SparkSession, d: str) -> DataFrame:
     return quality.ordered_checksum(table(spark, d, "nation"), "n_nationkey", F.concat_ws(":", "n_nationkey", "n_name", "n_regionkey"))
 
 
-@query()
+@query("""WITH g AS (SELECT greatest(1, ceil(count(*) / 100.0))::BIGINT AS n0, ceil(greatest(1, ceil(count(*) / 100.0)) / 100.0)::BIGINT AS n1 FROM observations),
+r AS (SELECT ('0x' || substr(md5(obs_id::VARCHAR), 1, 8))::BIGINT % n0 AS g, obs_id, md5(concat_ws(chr(31), obs_id, coalesce(project_id, chr(0)), coalesce(title, chr(0)), coalesce(narrative, chr(0)), coalesce(array_to_string(facts, chr(30)), chr(0)))) AS h FROM observations, g),
+a AS (SELECT g, md5(string_agg(h, '|' ORDER BY obs_id)) AS h, count(*) AS n FROM r GROUP BY g),
+b AS (SELECT g // 100 AS g, md5(string_agg(h, '|' ORDER BY g)) AS h, sum(n) AS n FROM a GROUP BY 1), c AS (SELECT 0 AS g, md5(string_agg(h, '|' ORDER BY g)) AS h, sum(n) AS n FROM b)
+SELECT coalesce(sum(n), 0)::BIGINT AS rows, coalesce(CASE WHEN (SELECT n0 FROM g) = 1 THEN (SELECT any_value(h) FROM a) WHEN (SELECT n1 FROM g) = 1 THEN (SELECT any_value(h) FROM b) ELSE any_value(h) END, 'empty') AS checksum FROM c""")
 def table_checksum(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "observations")
-    return quality.table_checksum(o, "obs_id", F.to_json(F.struct(*o.columns)))
+    z = lambda c: F.coalesce(c, F.lit("\0"))
+    row = F.concat_ws("\x1f", F.col("obs_id").cast("string"), z("project_id"), z("title"), z("narrative"), z(F.array_join("facts", "\x1e")))
+    return quality.table_checksum(table(spark, d, "observations"), "obs_id", row, group_rows=100)
 
 
 @query("SELECT project_id, session_id, count(*) AS n FROM observations WHERE status='active' AND session_id IS NOT NULL AND project_id IS NOT NULL GROUP BY 1,2 HAVING count(*) > 1")
@@ -294,7 +300,7 @@ p AS (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY day) AS q FROM g)
 SELECT user_id, round(avg(len(list_intersect(s, q)) / len(list_distinct(list_concat(s, q)))::DOUBLE), 6) AS stability, count(*) AS pairs FROM p WHERE q IS NOT NULL GROUP BY user_id""")
 def jaccard_runs(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("event_type").alias("s"))
-    g = g.withColumn("q", F.lag("s").over(Window.partitionBy("user_id").orderBy("day"))).where("q is not null")
+    g = g.withColumn("q", F.lag("s").over(Window.partitionBy("user_id").orderBy("day"))).where("q is not null")  # one row a day
     return g.groupBy("user_id").agg(F.round(F.avg(quality.jaccard(F.col("s"), F.col("q"))), 6).alias("stability"), F.count("*").alias("pairs"))
 
 
@@ -318,23 +324,24 @@ SELECT c.* FROM c WHERE EXISTS (SELECT 1 FROM m WHERE m.k = c.k AND m.start <= c
 def range_covered(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("l_suppkey") % 500
     c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), s.alias("start"), (s + 5).alias("end")).distinct()
-    return ranges.covered(c, ranges.merge_ranges(_ranges(spark, d), ["k"], block=128), "k")
+    return ranges.covered(c, ranges.merge_ranges(_ranges(spark, d), ["k"], block=128), "k", 128)
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, event_type, ts, n - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM e)
 SELECT user_id, event_type, epoch_us(min(ts)) AS first_us, count(*) AS length FROM f GROUP BY user_id, event_type, g HAVING count(*) >= 3""")
 def streaks(spark: SparkSession, d: str) -> DataFrame:
-    s = quality.streaks(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type").where("length >= 3")
+    s = quality.streaks(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", days(F.col("ts"))).where("length >= 3")
     return s.select("user_id", "event_type", F.unix_micros(F.col("first").cast("timestamp")).alias("first_us"), "length")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw, event_id FROM events),
 s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM g) SELECT user_id, i::BIGINT AS i, count(*) AS n, epoch_us(min(ts)) AS first_us FROM s GROUP BY user_id, i""")
 def session_gap(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("user_id", "ts", "event_id")
-    e = e.withColumn("nw", F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("interval 6 hours"), 0).otherwise(1)).withColumn("i", F.sum("nw").over(w))
+    order = ["ts", "event_id"]
+    e = lagged(table(spark, d, "events").select("user_id", *order), ["user_id"], days(F.col("ts")), order, F.col("ts"), "was")
+    new = F.when(F.col("ts") - F.col("was.v") <= F.expr("interval 6 hours"), 0).otherwise(1)
+    e = running(e, ["user_id"], days(F.col("ts")), order, new, "i")
     return e.groupBy("user_id", "i").agg(F.count("*").alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"))
 
 
@@ -479,16 +486,17 @@ def pending_merge(spark: SparkSession, d: str) -> DataFrame:
 # ---- mutation ----------------------------------------------------------------------------------------------
 
 
-@query("""WITH cur AS (SELECT source, md5(lower(substr(text,1,60))) AS key, min(md5(text)) AS dig FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL GROUP BY 1, 2),
-inc AS (SELECT doc_id, source, md5(lower(substr(text,1,60))) AS key, md5(text) AS dig FROM documents WHERE doc_id % 2 = 1 AND text IS NOT NULL),
+@query("""WITH x AS (SELECT doc_id, source, paper_id || '/' || coalesce(strftime(issue_date, '%Y-%m-%d'), '?') || '/' || page_no AS key, md5(text) AS dig, scanned_at >= TIMESTAMPTZ '2025-07-07 00:00:00+00' AS late FROM documents WHERE text IS NOT NULL),
+cur AS (SELECT source, key, min(dig) AS dig FROM x WHERE NOT late GROUP BY 1, 2), inc AS (SELECT doc_id, source, key, dig FROM x WHERE late),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY source, key) AS fo, min_by(dig, doc_id) OVER (PARTITION BY source, key) AS fd FROM inc),
 j AS (SELECT f.*, coalesce(cur.dig, CASE WHEN f.fo <> f.doc_id THEN f.fd END) AS against FROM f LEFT JOIN cur ON cur.source = f.source AND cur.key = f.key)
 SELECT doc_id, CASE WHEN source IS NULL OR against IS NULL THEN 'insert' WHEN against = dig THEN 'idempotent' ELSE 'conflict' END AS verdict FROM j WHERE source IS NOT NULL""")
 def upsert_classify(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null and source is not null")
-    x = docs.select("doc_id", "source", F.md5(F.lower(F.substring("text", 1, 60))).alias("key"), F.md5("text").alias("digest"))
-    parity = F.col("doc_id") % 2  # odd documents arrive, even ones are there
-    return mutate.classify_upsert(x.where(parity == 0), x.where(parity == 1), ["source", "key"], "key", "digest", "doc_id").select("doc_id", "verdict")
+    page = F.concat("paper_id", F.lit("/"), F.coalesce(F.date_format("issue_date", "yyyy-MM-dd"), F.lit("?")), F.lit("/"), F.col("page_no").cast("string"))
+    x = docs.select("doc_id", "source", page.alias("key"), F.md5("text").alias("digest"), (F.col("scanned_at") >= F.lit("2025-07-07 00:00:00").cast("timestamp")).alias("late"))
+    # pages scanned since a day arrive, those scanned before are there
+    return mutate.classify_upsert(x.where(~F.col("late")), x.where("late"), ["source", "key"], "key", "digest", "doc_id").select("doc_id", "verdict")
 
 
 @query("""SELECT coalesce(i.k, c.k) AS k, coalesce(i.status, c.status) AS status, coalesce(i.price, c.price) AS price, CASE WHEN i.k IS NULL THEN 'kept' WHEN c.k IS NULL THEN 'inserted' ELSE 'updated' END AS change
@@ -550,15 +558,18 @@ def backlog(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("session_id").agg(F.sum("p").alias("pending_bytes"), F.sum(F.ceil(F.col("p") / 32768)).alias("calls"))
 
 
-@query("""WITH seen AS (SELECT DISTINCT session_id AS session, path_hash AS path, start_offset AS start, end_offset AS "end" FROM transcript_chunks WHERE chunk_id % 2 = 0 AND session_id IS NOT NULL AND path_hash IS NOT NULL),
-w AS (SELECT DISTINCT session_id AS session, path_hash AS path, start_offset AS start, end_offset AS "end" FROM transcript_chunks WHERE chunk_id % 2 = 1 AND session_id IS NOT NULL AND path_hash IS NOT NULL)
-SELECT w.*, CASE WHEN EXISTS (SELECT 1 FROM seen s WHERE s.session = w.session AND s.path = w.path AND s.start <= w.start AND s."end" >= w."end") THEN 'ok'
-WHEN NOT EXISTS (SELECT 1 FROM seen s WHERE s.session = w.session) OR EXISTS (SELECT 1 FROM seen s WHERE s.session = w.session AND s.path <> w.path) THEN 'rollup-order-unknown'
-WHEN EXISTS (SELECT 1 FROM seen s WHERE s.session = w.session AND s."end" > w.start) THEN 'later-rollup-exists' ELSE 'ok' END AS verdict FROM w""")
+@query("""WITH seen AS (SELECT DISTINCT session_id AS session, transcript_path AS path, start_offset AS start, end_offset AS "end" FROM transcript_chunks WHERE session_id IS NOT NULL AND transcript_path IS NOT NULL AND end_offset > start_offset),
+w AS (SELECT DISTINCT session_id AS session, transcript_path AS path, transcript_offset AS start, transcript_offset + 1 AS "end" FROM thin_events WHERE session_id IS NOT NULL AND transcript_path IS NOT NULL AND transcript_offset >= 0),
+p AS (SELECT session, count(DISTINCT path) AS paths, min(path) AS one, max("end") AS last FROM seen GROUP BY 1),
+m AS (SELECT w.*, max(s."end") AS far FROM w LEFT JOIN seen s ON s.session = w.session AND s.path = w.path AND s.start <= w.start GROUP BY ALL)
+SELECT m.session, m.path, m.start, m."end", CASE WHEN far >= m."end" THEN 'ok' WHEN paths IS NULL OR paths <> 1 OR one <> m.path THEN 'rollup-order-unknown' WHEN last > m.start THEN 'later-rollup-exists' ELSE 'ok' END AS verdict
+FROM m LEFT JOIN p ON p.session = m.session""")
 def late_verdict(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "transcript_chunks").where("session_id is not null and path_hash is not null")
-    side = lambda r: c.where(F.col("chunk_id") % 2 == r).select(F.col("session_id").alias("session"), F.col("path_hash").alias("path"), F.col("start_offset").alias("start"), F.col("end_offset").alias("end")).distinct()
-    return ranges.late_verdict(side(1), side(0))  # even chunks are taken in, odd ones arrive
+    # chunks are taken in, the bytes of events arrive
+    at, keys = F.col("transcript_offset"), [F.col("session_id").alias("session"), F.col("transcript_path").alias("path")]
+    w = table(spark, d, "thin_events").where("session_id is not null and transcript_path is not null and transcript_offset >= 0").select(*keys, at.alias("start"), (at + 1).alias("end")).distinct()
+    seen = table(spark, d, "transcript_chunks").where("session_id is not null and transcript_path is not null and end_offset > start_offset")
+    return ranges.late_verdict(w, seen.select(*keys, F.col("start_offset").alias("start"), F.col("end_offset").alias("end")).distinct())
 
 
 @query()
@@ -592,11 +603,11 @@ def merge_survivor(spark: SparkSession, d: str) -> DataFrame:
     return g.select("session_id", F.col("best.summary_id").alias("survivor"), (F.col("n") - 1).alias("merged"))
 
 
-@query(f"""WITH s AS (SELECT transcript_path AS path, max(end_offset) AS c FROM transcript_chunks WHERE chunk_id % 3 = 0 GROUP BY 1),
+@query(f"""WITH s AS (SELECT transcript_path AS path, max(end_offset) AS c FROM transcript_chunks GROUP BY 1),
 b AS (SELECT transcript_path AS path, max(b) AS m FROM ({BOUNDS}) WHERE transcript_path IS NOT NULL AND b IS NOT NULL GROUP BY 1)
 SELECT path, coalesce(c, m) AS start, m AS "end", c IS NULL AS baseline FROM b LEFT JOIN s USING (path) WHERE c IS NULL OR m > c""")
 def advance_checkpoints(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "transcript_chunks").where("chunk_id % 3 = 0")  # the part that an earlier run had captured
+    done = table(spark, d, "transcript_chunks")  # what has been captured
     st = done.select(F.col("transcript_path").alias("path"), F.col("end_offset").alias("checkpoint"))
     return state.advance_checkpoints(st, _bounds(spark, d).select(F.col("transcript_path").alias("path"), F.col("b").alias("boundary")))
 
@@ -630,5 +641,5 @@ l AS (SELECT *, lag(band) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w
 def band_crossings(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
     e = table(spark, d, "events").select("user_id", "event_id", "ts", F.when(v >= 90, "high").when(v >= 70, "warn").otherwise("ok").alias("band"))
-    was = F.lag("band").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.withColumn("was", was).where((F.col("band") == "warn") & ~F.col("was").eqNullSafe(F.lit("warn"))).select("user_id", "event_id", "band")
+    e = lagged(e, ["user_id"], days(F.col("ts")), ["ts", "event_id"], F.col("band"), "was")
+    return e.where((F.col("band") == "warn") & ~F.col("was.v").eqNullSafe(F.lit("warn"))).select("user_id", "event_id", "band")

@@ -8,22 +8,35 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-#: Rows of a page, and the most rows that are fetched in one read.
+#: Rows of a page, and the most rows of one bounded read.
 PAGE, CAP = 200, 1000
 
 Fetch = Callable[[str | None, int], tuple[list[dict], str | None]]
 
 
+def read_some(fetch: Fetch, cursor: str | None = None, page: int = PAGE, cap: int = CAP) -> tuple[list[dict], str | None]:
+    """(rows, cursor): at most ``cap`` rows from a cursor on, and the cursor at which the next read goes on; None at the
+    end. A cursor that comes again ends the reading."""
+    rows: list[dict] = []
+    seen = {cursor}
+    while len(rows) < cap:
+        got, cursor = fetch(cursor, min(page, cap - len(rows)))
+        rows += got
+        if not got or cursor is None or cursor in seen:
+            return rows, None
+        seen.add(cursor)
+    return rows, cursor
+
+
 def all_pages(fetch: Fetch, page: int = PAGE, cap: int = CAP) -> Iterator[dict]:
-    """Rows of all pages up to the cap; a cursor that comes again ends the reading."""
-    cursor, seen, n = None, set(), 0
-    while n < cap:
-        rows, cursor = fetch(cursor, min(page, cap - n))
-        yield from rows[: cap - n]
-        n += len(rows)
-        if not rows or cursor is None or cursor in seen:
+    """Rows of all pages, read ``cap`` at a time, each read going on where the one before it ended."""
+    cursor, first = None, True
+    while first or cursor is not None:
+        rows, following = read_some(fetch, cursor, page, cap)
+        yield from rows
+        if following == cursor:
             return
-        seen.add(cursor)
+        cursor, first = following, False
 
 
 def delta(fetch: Callable[[str], tuple[list[dict], str]], token: str | None) -> tuple[list[dict], str, bool]:
@@ -32,13 +45,13 @@ def delta(fetch: Callable[[str], tuple[list[dict], str]], token: str | None) ->
     return rows, following, token is None
 
 
-def paged_source(name: str, schema: str, fetch: Fetch, cap: int = CAP) -> type[DataSource]:
-    """A registrable source whose rows are the JSON objects of the pages, columns by name, values as strings."""
+def paged_source(name: str, schema: str, fetch: Fetch) -> type[DataSource]:
+    """A registrable source whose rows are the JSON objects of all pages, columns by name, values as strings."""
     names = [c.split()[0] for c in schema.split(",")]
 
     class Reader(DataSourceReader):
         def read(self, partition):
-            for r in all_pages(fetch, cap=cap):
+            for r in all_pages(fetch):
                 yield tuple(r.get(c) if r.get(c) is None or isinstance(r.get(c), str) else json.dumps(r.get(c)) for c in names)
 
     class Paged(DataSource):
@@ -55,6 +68,6 @@ def paged_source(name: str, schema: str, fetch: Fetch, cap: int = CAP) -> type[D
     return Paged
 
 
-def read_paged(spark: SparkSession, name: str, schema: str, fetch: Fetch, cap: int = CAP) -> DataFrame:
-    spark.dataSource.register(paged_source(name, schema, fetch, cap))
+def read_paged(spark: SparkSession, name: str, schema: str, fetch: Fetch) -> DataFrame:
+    spark.dataSource.register(paged_source(name, schema, fetch))
     return spark.read.format(name).load()

@@ -2,25 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Sizes beyond which a transcript is refused, stored and inflated.
 MAX_STORED, MAX_INFLATED, HEAD_BYTES = 64 << 20, 128 << 20, 256 << 10
 
 
-def read_transcripts(spark: SparkSession, folder: str, max_stored: int = MAX_STORED) -> DataFrame:
-    """(path, line_no, value) of all JSONL transcripts under a folder, plain or ``.zst`` (read by the extension). A plain
-    file hides a compressed one of the same name; files above the stored size are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").load(folder).select("path", "length")
-    plain = F.regexp_replace("path", r"\.zst$", "")
-    keep = files.where(F.col("length") <= max_stored).groupBy(plain.alias("name")).agg(F.min("path").alias("path"))  # the plain name sorts first
+def _files(spark: SparkSession, folder: str, max_stored: int, max_inflated: int) -> DataFrame:
+    """(name, path, refused) of the transcripts of a folder, one row a file; refused is the reason or null. A plain file
+    hides a compressed one of the same name."""
+
+    @F.pandas_udf("long")
+    def inflated(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: None if c is None else _inflated(c, max_inflated))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").load(folder)
+    packed = F.col("path").endswith(".zst")
+    stored = files.select("path", "length", F.when(packed & (F.col("length") <= max_stored), F.col("content")).alias("content"))
+    size = F.when(F.col("content").isNotNull(), inflated("content"))
+    why = F.when(F.col("length") > max_stored, "stored size").when(size < 0, "not readable").when(size > max_inflated, "inflated size")
+    whole = stored.select(F.regexp_replace("path", r"\.zst$", "").alias("name"), "path", why.alias("refused"))
+    return whole.groupBy("name").agg(F.min(F.struct("path", "refused")).alias("f")).select("name", "f.*")  # the plain name sorts first
+
+
+def _inflated(content: bytes, most: int) -> int:
+    """Bytes of a compressed file, counted up to just beyond ``most``; -1 if it is damaged."""
+    import zstandard
+
+    total = 0
+    try:
+        with zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True) as r:
+            while total <= most and (part := r.read(1 << 20)):
+                total += len(part)
+    except zstandard.ZstdError:
+        return -1
+    return total
+
+
+def _bare(c: str) -> Column:
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
+def refused_transcripts(spark: SparkSession, folder: str, max_stored: int = MAX_STORED, max_inflated: int = MAX_INFLATED) -> DataFrame:
+    """(path, reason) of the files that :func:`read_transcripts` leaves out, so that none goes missing unseen."""
+    f = _files(spark, folder, max_stored, max_inflated)
+    return f.where("refused is not null").select(_bare("path").alias("path"), F.col("refused").alias("reason"))
+
+
+def read_transcripts(spark: SparkSession, folder: str, max_stored: int = MAX_STORED, max_inflated: int = MAX_INFLATED) -> DataFrame:
+    """(path, line_no, value) of all JSONL transcripts under a folder, plain or ``.zst`` (read by the extension), lines
+    counted from 0 within a file. A plain file hides a compressed one of the same name; files above a size are left out
+    here and listed by :func:`refused_transcripts`."""
+    keep = _files(spark, folder, max_stored, max_inflated).where("refused is null").select(_bare("path").alias("file_key"))
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").text(folder)
-    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
-    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    return lines.join(keep.select(bare("path").alias("file_key"), "name"), bare("file") == F.col("file_key"), "left_semi").select(
-        F.regexp_replace(bare("file"), r"\.zst$", "").alias("path"), "line_no", "value"
-    )
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    own = lines.join(keep, _bare("file") == F.col("file_key"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("_b", "_i")) - 1  # files are bounded by the sizes above
+    return own.select(F.regexp_replace(_bare("file"), r"\.zst$", "").alias("path"), place.cast("long").alias("line_no"), "value")
 
 
 def complete_lines(text: Column) -> Column:
