@@ -5,6 +5,8 @@ Top-k lists are taken on (id, score) alone, so wide columns never take part in a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,19 @@ def by_class(cls: Column, table: dict) -> Column:
     return c
 
 
-def rerank(candidates: DataFrame, recency_min: float = 0.95, floor: bool = True) -> DataFrame:
+def weights_of(given: dict | None) -> dict:
+    """The weights of the classes, those that are given in place of the usual ones; what is no number keeps the usual one."""
+    own = {}
+    for k, usual in WEIGHTS.items():
+        try:
+            w = float((given or {}).get(k, usual))
+        except (TypeError, ValueError):
+            w = usual
+        own[k] = w if math.isfinite(w) else usual
+    return own
+
+
+def rerank(candidates: DataFrame, recency_min: float = 0.95, floor: bool = True, weights: dict | None = None) -> DataFrame:
     """Weighted candidates: columns plus weighted, source_order.
 
     ``candidates``: id, cls (manual, rollup, decision, other), project, session, time, base. A row's score is its base
@@ -78,7 +92,7 @@ def rerank(candidates: DataFrame, recency_min: float = 0.95, floor: bool = True)
         r.alias("r"), (F.col("c.project").eqNullSafe(F.col("r.project"))) & (F.col("c.session") == F.col("r.session")) & F.col("c.time").eqNullSafe(F.col("r.time")), "left"
     ).select("c.*", "r.r", "r.n")
     fade = F.when(obs & (F.col("n") > 0), recency_min + (1 - recency_min) * F.col("r") / F.col("n")).otherwise(1.0)
-    c = c.withColumn("weighted", F.col("base") * by_class(F.col("cls"), WEIGHTS) * fade).drop("r", "n")
+    c = c.withColumn("weighted", F.col("base") * by_class(F.col("cls"), weights_of(weights)) * fade).drop("r", "n")
     if floor:
         best = c.where(obs).groupBy("project", "session").agg(F.max("weighted").alias("best"))
         c = c.alias("c").join(best.alias("b"), F.col("c.project").eqNullSafe(F.col("b.project")) & (F.col("c.session") == F.col("b.session")), "left").select("c.*", "b.best")

@@ -88,57 +88,12 @@ q AS (SELECT embedding AS e FROM embeddings WHERE embedding IS NOT NULL ORDER BY
 s AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM
 (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)::DOUBLE[]), 6) AS score FROM embeddings) WHERE score IS NOT NULL QUALIFY r <= 50)
 SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score, min(l)::BIGINT AS first_list FROM
-(SELECT id, r, 0 AS l FROM k UNION ALL SELECT id, r, 1 FROM s) GROUP BY id""")
+(SELECT id, r, 0 AS l FROM k UNION ALL SELECT id, r, 1 FROM s) GROUP BY id ORDER BY score DESC, first_list, min(CASE WHEN l = 0 THEN r END), min(r) LIMIT 50""")
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     k = retrieval.keyword_topk(table(spark, d, "observations"), obs_haystack(), WORDS, 50, F.col("observed_at"), "obs_id").withColumnRenamed("obs_id", "id")
     s = retrieval.semantic_topk(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), 50, "vec_id").withColumnRenamed("vec_id", "id")
-    return retrieval.rrf([k, s], "id").select("id", "score", *big("first_list"))
-
-
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    base = lambda hay: F.round(T.keyword_hits(hay, TERMS) / len(TERMS), 6)
-    obs = table(spark, d, "observations").select(
-        F.concat(F.lit("o"), "obs_id").alias("id"), F.when(F.col("obs_type") == "decision", "decision").otherwise("other").alias("cls"),
-        F.col("project_id").alias("project"), F.col("session_id").alias("session"), F.col("observed_at").alias("time"), base(obs_haystack()).alias("base"),
-    )
-    sums = table(spark, d, "session_summaries").select(
-        F.concat(F.lit("r"), "summary_id").alias("id"), F.lit("rollup").alias("cls"), F.col("project_id").alias("project"),
-        F.col("session_id").alias("session"), F.col("updated_at").alias("time"), base(sum_haystack()).alias("base"),
-    )
-    return obs.unionByName(sums).where("base > 0")
-
-
-RERANK = f"""cand AS (SELECT 'o'||obs_id AS id, CASE WHEN obs_type = 'decision' THEN 'decision' ELSE 'other' END AS cls, project_id AS project,
-session_id AS session, observed_at AS time, round({HITS(OBS_HAY)} / {len(TERMS)}.0, 6)::DOUBLE AS base FROM observations
-UNION ALL SELECT 'r'||summary_id, 'rollup', project_id, session_id, updated_at, round({HITS(SUM_HAY)} / {len(TERMS)}.0, 6)::DOUBLE FROM session_summaries),
-c AS (SELECT *, (cls <> 'rollup' AND session IS NOT NULL) AS o FROM cand WHERE base > 0),
-f AS (SELECT *, dense_rank() OVER (PARTITION BY o, project, session ORDER BY time NULLS FIRST) - 1 AS r FROM c),
-g AS (SELECT *, max(r) OVER (PARTITION BY o, project, session) AS m FROM f),
-w AS (SELECT *, base * (CASE cls WHEN 'rollup' THEN 0.85::DOUBLE WHEN 'decision' THEN 0.8::DOUBLE ELSE 0.65::DOUBLE END)
-* (CASE WHEN o AND m > 0 THEN 0.95::DOUBLE + (1 - 0.95::DOUBLE) * r / m ELSE 1.0::DOUBLE END) AS w0 FROM g),
-b AS (SELECT *, max(CASE WHEN o THEN w0 END) OVER (PARTITION BY project, session) AS best FROM w),
-ranked AS (SELECT id, cls, base, time, round(CASE WHEN cls = 'rollup' AND session IS NOT NULL THEN greatest(w0, coalesce(best, w0)) ELSE w0 END, 6) AS weighted,
-(CASE cls WHEN 'rollup' THEN 1 WHEN 'decision' THEN 2 ELSE 3 END) AS source_order FROM b)"""
-
-
-@query(f"WITH {RERANK} SELECT id, cls, base, weighted, source_order::BIGINT AS source_order FROM ranked")
-def rerank(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.rerank(candidates(spark, d)).select("id", "cls", "base", "weighted", *big("source_order"))
-
-
-def _ranked(spark: SparkSession, d: str, limit: int) -> DataFrame:
-    return retrieval.rerank(candidates(spark, d)).orderBy(*retrieval.final_order()).limit(retrieval.overfetch(limit, 0.95, 1.0))
-
-
-@query(f"""WITH {RERANK}, t AS (SELECT *, row_number() OVER (ORDER BY weighted DESC, source_order, base DESC, time DESC NULLS LAST, id) AS r FROM ranked QUALIFY r <= 60),
-x AS (SELECT *, cls <> 'rollup' AS obs, r <= 20 AS head FROM t),
-y AS (SELECT *, greatest(0, 8 - sum((head AND obs)::INT) OVER ()) AS need, sum((obs AND NOT head)::INT) OVER (ORDER BY r) AS kth,
-sum((head AND NOT obs)::INT) OVER (ORDER BY r DESC) AS from_end FROM x),
-z AS (SELECT *, obs AND NOT head AND kth <= need AS up FROM y),
-k AS (SELECT * FROM (SELECT *, sum(up::INT) OVER () AS ups FROM z) WHERE (head AND (obs OR from_end > ups)) OR up)
-SELECT id, weighted, row_number() OVER (ORDER BY up, r)::BIGINT AS pos FROM k""")
-def reserve(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.reserve(_ranked(spark, d, 20), 20).select("id", "weighted", *big("pos"))
+    fused = retrieval.rrf([k, s], "id").orderBy(F.desc("score"), "first_list", "first_rank").limit(50)
+    return fused.select("id", "score", *big("first_list"))
 
 
 @query("""SELECT summary_id, CASE WHEN length(summary) > 180 THEN substr(summary,1,177)||'...' ELSE summary END AS title,
