@@ -28,6 +28,8 @@ MARKERS = (
     r"(?i)(?:\s*(?:…|\.\.\.|\[(?:[^\]\n]{0,24}\b(?:cut|truncated|snip|snipped|more|continued|shortened)\b[^\]\n]{0,24}|\.\.\.|…)\]"
     r"|\((?:cut|truncated|more|continued|cont\.|to be continued|text truncated|\.\.\.|…)\)|<(?:cut|truncated|more|snip)>|&hellip;|�))+\s*$"
 )
+#: What every marker ends on; most texts do not, and need no search for one.
+MAY_BE_MARKED = r"(?:…|\.\.\.|[\])>;�])\s*$"
 FINAL = r"(?:[.!?。！？][\"'”’」』)\]）]*|[)）\]`」』])$"
 
 #: A pile: at least so many different texts, and this share of the source's, within SLACK below a length, and so many
@@ -48,17 +50,20 @@ _PATH = re.compile(r"^[\w\-]+(?:/[\w\-]+)+(\.\w+)?$")
 
 def measures(text: Column) -> dict[str, Column]:
     """Lengths of a text under the encodings and escapings that storage applies."""
-    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
-    chars, lines = F.char_length(text), count("\n")
+    chars, octets = F.char_length(text), F.octet_length(text)
+    of = lambda sign: chars - F.char_length(F.replace(text, F.lit(sign), F.lit("")))
+    wide = lambda pattern: F.when(octets == chars, 0).otherwise(F.regexp_count(text, F.lit(pattern)))
+    lines, astral = of("\n"), wide(r"[\x{10000}-\x{10FFFF}]")
+    escaped = chars - F.char_length(F.translate(text, '"\\\n\t\r', ""))
     return {
         "chars": chars,
-        "utf8": F.octet_length(text),
-        "utf16": chars + count(r"[\x{10000}-\x{10FFFF}]"),
-        "entities": chars + 4 * count("&") + 3 * count("[<>]") + 5 * count('"') + 4 * count("'"),
-        "json": chars + count(r'["\\\n\t\r]'),
-        "json_ascii": chars + count(r'["\\\n\t\r]') + 5 * count(r"[^\x00-\x7F]") + 6 * count(r"[\x{10000}-\x{10FFFF}]"),
+        "utf8": octets,
+        "utf16": chars + astral,
+        "entities": chars + 4 * of("&") + 3 * (of("<") + of(">")) + 5 * of('"') + 4 * of("'"),
+        "json": chars + escaped,
+        "json_ascii": chars + escaped + 5 * wide(r"[^\x00-\x7F]") + 6 * astral,
         "crlf": chars + lines,
-        "crlf_utf8": F.octet_length(text) + lines,
+        "crlf_utf8": octets + lines,
     }
 
 
@@ -327,12 +332,12 @@ def truncated(texts: DataFrame) -> DataFrame:
     t = texts.where("text is not null").select(
         "table_name", F.col("record_id").cast("long").alias("record_id"), F.coalesce("source", F.lit("")).alias("source"), "text"
     )
-    t = t.withColumn("stripped", F.regexp_replace("text", MARKERS, ""))
+    t = t.withColumn("stripped", F.when(F.col("text").rlike(MAY_BE_MARKED), F.regexp_replace("text", MARKERS, "")).otherwise(F.col("text")))
     t = t.withColumn("marker", F.char_length("stripped") < F.char_length(F.rtrim("text")))
     t = t.withColumn("broken", F.col("text").rlike(r"�\W*$")).withColumn("body", F.regexp_replace("stripped", r"\s+$", ""))
     body = F.col("body")
-    marked, on_path = body.rlike(FINAL), body.rlike(r"(?:^|\s)[\w\-]+(?:/[\w\-]+)+\.?$")
-    opened = body.rlike(r"[(（\[][^)）\]\n]{0,60}$") | body.rlike(r"(?:^|[^`])`[^`\n]{1,60}$") & (F.regexp_count("body", F.lit("`")) % 2 == 1)
+    marked, on_path = body.rlike(FINAL), body.contains("/") & body.rlike(r"(?:^|\s)[\w\-]+(?:/[\w\-]+)+\.?$")
+    opened = body.rlike(r"[(（\[][^)）\]\n]{0,60}$") | body.contains("`") & body.rlike(r"(?:^|[^`])`[^`\n]{1,60}$") & (F.regexp_count("body", F.lit("`")) % 2 == 1)
     # everything that is read off a text is read once
     t = cut(
         t.where("body <> ''").select(
