@@ -156,6 +156,79 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *parts), 256)
 
 
+def memory_hash(project: Column, kind: Column, summary: Column, keywords: Column, decisions: Column, next_steps: Column) -> Column:
+    """SHA-256 of a memory: its texts and the JSON of its lists, one a line; null lists count as empty."""
+    none = F.expr("cast(array() as array<string>)")
+    z = lambda c: F.coalesce(c, F.lit(""))
+    return F.sha2(F.concat_ws("\n", z(project), z(kind), z(summary), *[F.to_json(F.coalesce(c, none)) for c in (keywords, decisions, next_steps)]), 256)
+
+
+def json_list(*parts: Column) -> Column:
+    """The JSON of a list whose parts have different types: texts quoted, lists as they are, nulls as null."""
+    one = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1), F.lit("null"))
+    each = [F.when(c.isNull(), "null").otherwise(one(c)) for c in parts]
+    return F.concat(F.lit("["), F.concat_ws(",", *each), F.lit("]"))
+
+
+def json_hash(*parts: Column) -> Column:
+    return F.sha2(json_list(*parts), 256)
+
+
+def rollup_key(project: Column, session: Column) -> Column:
+    return F.concat(F.lit("capture:v05:"), project, F.lit(":"), session)
+
+
+def rollup_key_session(key: Column) -> Column:
+    """The session of a rollup's key; null for keys of another form."""
+    return F.nullif(F.regexp_extract(key, "^capture:v05:[^:]*:(.+)$", 1), F.lit(""))
+
+
+def observation_text(title: Column, facts: Column, narrative: Column) -> Column:
+    """The text of an observation that is embedded: title, facts one a line, narrative; what is empty is left out."""
+    part = lambda c: F.nullif(c, F.lit(""))
+    return F.concat_ws("\n", part(title), part(F.array_join(facts, "\n")), part(narrative))
+
+
+# Words that tell which system an answer came from.
+LEAKS = (
+    r"mcp__[a-z_\-]+__", r"cc[_\-]memory[_a-z]*", r"claude[\-_]mem[a-z\-_]*", r"mcp-search", r"chroma[\-_a-z]*", r"smart_(search|outline|unfold)",
+    r"get_observations", r"cc_task_[a-z]*", r"cc_reminders_due", r"rollup", r"spool", r"observation[s]?\b",
+)
+LEAK_MARK = "[工具]"
+
+
+def redact_leaks(text: Column) -> Column:
+    for p in LEAKS:
+        text = F.regexp_replace(text, f"(?i){p}", LEAK_MARK)
+    return text
+
+
+def merge_metadata(metadata: Column, key: str, value: Column) -> Column:
+    """JSON metadata with one key set to a JSON value, the others as they are, the new one last; null or malformed metadata
+    count as empty."""
+    whole = F.when(F.try_parse_json(metadata).isNotNull(), metadata)
+    entries = F.map_entries(F.coalesce(F.from_json(whole, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")))
+    named = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", "")
+    parts = F.transform(F.filter(entries, lambda e: e["key"] != key), lambda e: F.concat(named(e["key"]), F.lit(":"), F.to_json(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(F.concat(parts, F.array(F.concat(F.lit(f'"{key}":'), value))), ","), F.lit("}"))
+
+
+def iso_instant(text: Column) -> Column:
+    """Milliseconds of a strict ISO-8601 text: a date alone is midnight UTC and must exist in the calendar, a time needs a
+    zone; all else is null."""
+    day = r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
+    timed = rf"^{day}T(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{{1,9}})?)?(?:Z|[+-](?:[01]\d|2[0-3]):?[0-5]\d)$"
+    zone = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(text.rlike(f"^{day}$"), F.unix_millis(F.concat(text, F.lit("T00:00:00Z")).try_cast("timestamp"))).when(text.rlike(timed), F.unix_millis(zone.try_cast("timestamp")))
+
+
+def project_id(explicit: Column, env: Column, marker: Column, root: Column, folder: Column) -> Column:
+    """The first of an explicit id, one of the environment, a marker's, the name of the repository's root and that of the
+    folder that is not blank."""
+    named = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(named(explicit), named(env), named(marker), named(path_basename(root)), named(path_basename(folder)))
+
+
 def recurrence_next(anchor: Column, now: Column, step: Column) -> Column:
     """The first of anchor + k * step, k >= 1, after now (all in one integer unit)."""
     return anchor + F.greatest(F.lit(1), F.floor((now - anchor) / step) + 1) * step

@@ -16,6 +16,32 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def keyset_page(df: DataFrame, key: str, after, limit: int) -> DataFrame:
+    """The next page of a scan in order of the key: rows behind the last key seen, from the start for None."""
+    check_page(limit)
+    return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(limit)
+
+
+def scope_policy(asked: str | None, reserved: list[str], forced: str | None = None, config: str | None = None) -> str | None:
+    """The scope that holds: a forced one admits no other id, two settings of one may not disagree, a reserved id cannot be
+    asked for, a blank one is none."""
+    clean = lambda x: x.strip() or None if isinstance(x, str) else None
+    asked, forced, config = clean(asked), clean(forced), clean(config)
+    if forced and config and forced != config:
+        raise ValueError("the settings name two scopes")
+    own = forced or config
+    if own and asked and asked != own:
+        raise ValueError("another scope is forced")
+    if asked in reserved and own != asked:
+        raise ValueError("reserved scope")
+    return own or asked
+
+
+def of_type(df: DataFrame, column: str, kind: str | None) -> DataFrame:
+    """Observations under a filter made for memories: all without one, decisions for decisions, none for other types."""
+    return df if kind is None else df.where(F.col(column) == "decision") if kind == "decision" else df.limit(0)
+
+
 def scoped(df: DataFrame, column: str, scope: str | None, reserved: list[str], include_reserved: bool = False) -> DataFrame:
     """Rows of one scope, or of all but the reserved ones; a reserved scope is refused. Null scopes are in no scope."""
     if scope is not None:
@@ -27,13 +53,17 @@ def scoped(df: DataFrame, column: str, scope: str | None, reserved: list[str], i
 
 
 def resolve_short_id(df: DataFrame, key: str, prefix: str, recency: Column, most: int = 5) -> DataFrame:
-    """Rows whose hexadecimal id starts with a prefix of at least six signs, newest first, with a verdict column."""
+    """Rows whose hexadecimal id starts with a prefix of at least six signs, newest first, with a verdict column;
+    one row without values and NOT_FOUND if there is none."""
     p = "".join(c for c in prefix.lower() if c in "0123456789abcdef")
     if len(p) < 6:
         raise ValueError("at least six hexadecimal signs")
     hit = df.where(F.lower(F.regexp_replace(F.col(key), "[^0-9A-Fa-f]", "")).startswith(p)).orderBy(F.desc_nulls_last(recency), key).limit(most)
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))  # at most ``most`` rows
-    return hit.withColumn("verdict", F.when(n == 1, "FOUND").otherwise("AMBIGUOUS"))
+    told = hit.withColumn("verdict", F.when(n == 1, "FOUND").otherwise("AMBIGUOUS"))
+    one = df.sparkSession.createDataFrame([("NOT_FOUND",)], "_none string")
+    j = one.join(told, F.lit(True), "left")  # one row beside at most ``most``
+    return j.withColumn("verdict", F.coalesce("verdict", "_none")).drop("_none")
 
 
 def timeline(df: DataFrame, session: str, time: Column, key: str, anchor: int, n_before: int, n_after: int) -> DataFrame:

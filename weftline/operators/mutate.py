@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import merge_metadata
+from weftline.session import path_exists
+
 
 def classify_upsert(current: DataFrame, incoming: DataFrame, keys: list[str], key: str, digest: str, order: str) -> DataFrame:
     """``incoming`` with ``verdict``: insert (no key, or a new key), idempotent (known key, same digest) or conflict.
@@ -40,6 +43,26 @@ def insert_new(current: DataFrame, incoming: DataFrame, keys: list[str], order:
     return one.join(current.select(*keys), keys, "left_anti")
 
 
+def insert_rows(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Appends the rows whose key the table at ``path`` lacks, one row a key (the least by its other columns); rows with a
+    null in the key are refused. Run again after a failure, it adds only what is missing."""
+    spark = df.sparkSession
+    if not df.where(" or ".join(f"`{k}` is null" for k in keys)).isEmpty():
+        raise ValueError("a key is null")
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else df.distinct()
+    if path_exists(spark, path):
+        one = one.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    one.write.mode("append").parquet(path)
+
+
+def compare_and_set(metadata: Column, expected: Column, key: str, value: Column) -> tuple[Column, Column]:
+    """(metadata, applied): one key set where the whole metadata still equal the expected ones as JSON, blanks aside."""
+    plain = lambda c: F.to_json(F.try_parse_json(c))
+    same = F.coalesce(plain(metadata) == plain(expected), F.lit(False))
+    return F.when(same, merge_metadata(metadata, key, value)).otherwise(metadata), same
+
+
 def soft_delete(df: DataFrame, condition: Column, status: str = "status", archived: str = "archived") -> DataFrame:
     """The next snapshot with matching active rows archived, and ``changed``."""
     hit = condition & (F.col(status) == "active")

@@ -35,6 +35,11 @@ def finalise_due(sessions: DataFrame, now: Column, minutes: int = 360) -> DataFr
     return sessions.where(ok)
 
 
+def malformed_only(parsed: DataFrame, key: str) -> DataFrame:
+    """Keys of snapshots that hold lines but no good one."""
+    return parsed.groupBy(key).agg(F.count_if(~F.col("malformed")).alias("_n")).where("_n = 0").select(key)
+
+
 def drop_covered(entries: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Retry entries and hints that a checkpoint has not yet passed."""
     c = checkpoints.groupBy("path").agg(F.max("checkpoint").alias("_c"))

@@ -87,12 +87,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; :func:`discard_stored` removes it."""
+    path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like :func:`cut`, as a Parquet table in the shared folder: for results that are read more than once by
     column or filter, where order and partitions do not matter. The folder lives as long as its owner keeps it;
     :func:`discard_stored` removes those of this session."""
-    path = f"{shared_dir(df.sparkSession)}/weftline-{uuid.uuid4().hex}"
-    _STORED.append(path)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -105,5 +111,10 @@ def discard_stored(spark: SparkSession) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def bench_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,5 +40,30 @@ def read_spool(spark: SparkSession, path: str) -> DataFrame:
     return parse_events(lines)
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.where(~F.coalesce(F.col("tool_name").isin(*SKIPPED_TOOLS), F.lit(False))).write.mode("append").json(path)
+def skipped_tools(setting: str | None) -> tuple[str, ...]:
+    """The tools of a comma-separated setting; the usual ones without it, none for a blank one."""
+    return SKIPPED_TOOLS if setting is None else tuple(x.strip() for x in setting.split(",") if x.strip())
+
+
+def append_events(events: DataFrame, path: str, skip: str | None = None, partition: list[str] | None = None) -> bool:
+    """Appends the events whose tool is not skipped. Capture must not stop what it watches: a failed write is reported by
+    the result and raises nothing."""
+    names = skipped_tools(skip)
+    kept = events.where(~F.coalesce(F.col("tool_name").isin(*names), F.lit(False))) if names else events
+    return _append(kept, path, partition)
+
+
+def append_sentinels(sentinels: DataFrame, path: str, partition: list[str] | None = None) -> bool:
+    """Appends stop sentinels: only the transcript and its length belong to one; those without a transcript are left out."""
+    keep = [*(partition or []), "session_id", "transcript_path", "hwm_offset"]
+    return _append(sentinels.where("transcript_path is not null").select(*dict.fromkeys(keep)), path, partition)
+
+
+def _append(df: DataFrame, path: str, partition: list[str] | None) -> bool:
+    try:
+        w = df.write.mode("append")
+        (w.partitionBy(*partition) if partition else w).json(path)
+        return True
+    except Exception as e:  # noqa: BLE001
+        logging.getLogger(__name__).warning("append to %s failed: %s", path, type(e).__name__)
+        return False

@@ -19,6 +19,23 @@ def parse_table(text: str) -> list[dict[str, str]]:
     return [dict(zip(head, r)) for r in body]
 
 
+def parse_results(text: str, columns: list[str]) -> list[dict[str, str]]:
+    """Rows of a search report: all its tables with these columns under a line ``Found n results``. A report of another
+    form has drifted and is refused: no count, a table with other columns, or another number of rows than announced."""
+    told = re.search(r"(?im)^\W*found\s+(\d+)\s+results?\b", text)
+    if told is None:
+        raise ValueError("drift: no number of results")
+    rows: list[dict[str, str]] = []
+    for part in re.split(r"\n(?=[^|])", text):
+        table = parse_table(part)
+        if table and set(table[0]) != set(columns):
+            raise ValueError(f"drift: columns {sorted(table[0])}")
+        rows += table
+    if len(rows) != int(told[1]):
+        raise ValueError(f"drift: {told[1]} results announced, {len(rows)} found")
+    return rows
+
+
 def read_table(spark: SparkSession, text: str, columns: list[str]) -> DataFrame:
     rows = [tuple(r.get(c) for c in columns) for r in parse_table(text)]
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import neutralise_transcript
+
 #: Sizes beyond which a transcript is refused, stored and inflated.
 MAX_STORED, MAX_INFLATED, HEAD_BYTES = 64 << 20, 128 << 20, 256 << 10
 
@@ -95,6 +99,77 @@ def clip_middle(text: Column, limit: int) -> Column:
     ).otherwise(t)
 
 
+# Longest shown text, arguments and results of tools, and the marks of what is not text.
+TEXT_CHARS, INPUT_CHARS, RESULT_CHARS = 8000, 300, 600
+IMAGE, REFERENCE, SUMMARY_ROLE, FAILED = "[圖片]", "[工具參照 ", "對話摘要", " 錯誤"
+
+
+def _flat(doc: object) -> str:
+    """The text of content blocks nested to any depth, walked with a stack: texts in order, one a line."""
+    out, todo = [], [doc]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, list):
+            todo += reversed(v)
+        elif isinstance(v, dict) and v.get("type") == "image":
+            out.append(IMAGE)
+        elif isinstance(v, dict) and v.get("type") == "tool_reference":
+            out.append(f"{REFERENCE}{v.get('tool_name', '')}]")
+        elif isinstance(v, dict) and isinstance(v.get("text"), str):
+            out.append(v["text"])
+        elif isinstance(v, dict) and "content" in v:
+            todo.append(v["content"])
+        elif isinstance(v, dict):
+            out.append(json.dumps(v, ensure_ascii=False)[:RESULT_CHARS])
+        elif v is not None:
+            out.append(v if isinstance(v, str) else str(v))
+    return "\n".join(x for x in out if x)
+
+
+def flatten(doc: Column) -> Column:
+    """The text of a JSON content of any depth; a text that is no JSON is its own. Only nested contents leave the JVM."""
+
+    @F.pandas_udf("string")
+    def flat(s: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                return None if v is None else _flat(json.loads(v))
+            except ValueError:
+                return v
+
+        return s.map(one)
+
+    return F.when(doc.rlike(r"^\s*[\[{\"]"), flat(doc)).otherwise(doc)
+
+
+def render(lines: DataFrame, text: str, line_no: str) -> DataFrame:
+    """The turns of a transcript as text, one row a content block: the columns of ``lines``, part (its place) and shown.
+    Messages of user and assistant, uses and results of tools and images are shown under a head with line and time;
+    thinking, meta lines and all else is not."""
+    schema = "type string, timestamp string, isMeta boolean, isCompactSummary boolean, message struct<content:string>"
+    block = "array<struct<type:string,text:string,name:string,input:string,content:string,is_error:boolean>>"
+    d = lines.withColumn("_v", F.from_json(text, schema)).where("_v.type in ('user', 'assistant') and not coalesce(_v.isMeta, false)")
+    content = F.col("_v.message.content")
+    blocks = F.when(content.rlike(r"^\s*\["), F.from_json(content, block)).otherwise(
+        F.array(F.struct(F.lit("text").alias("type"), content.alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("name", "input", "content")], F.lit(None).cast("boolean").alias("is_error")))
+    )
+    d = d.select(*lines.columns, "_v", F.posexplode(blocks).alias("part", "_b"))
+    at = F.coalesce("_v.timestamp", F.lit(""))
+    time = F.when(at.endswith("Z"), F.concat(F.substring(at, 1, 19), F.lit("Z"))).otherwise(F.substring(at, 1, 25))
+    head = lambda label: F.concat(F.rtrim(F.concat(F.lit("[L"), F.col(line_no).cast("string"), F.lit(" "), time)), F.lit(" "), label, F.lit("] "))
+    role = F.when(F.col("_v.isCompactSummary"), SUMMARY_ROLE).otherwise(F.col("_v.type"))
+    kind, b = F.coalesce("_b.type", F.lit("")), lambda c: F.coalesce(f"_b.{c}", F.lit(""))
+    safe = neutralise_transcript
+    failed = F.when(F.col("_b.is_error"), FAILED).otherwise("")
+    shown = (
+        F.when((kind == "text") & (F.trim(b("text")) != ""), F.concat(head(role), safe(clip_middle(b("text"), TEXT_CHARS))))
+        .when(kind.isin("tool_use", "server_tool_use"), F.concat(head(F.lit("tool_use")), safe(F.coalesce("_b.name", F.lit("?"))), F.lit(" "), safe(clip(F.coalesce("_b.input", F.lit("{}")), INPUT_CHARS))))
+        .when(kind.endswith("tool_result"), F.concat(head(F.concat(F.lit("tool_result"), failed)), safe(clip(flatten(b("content")), RESULT_CHARS))))
+        .when(kind == "image", F.concat(head(role), F.lit(IMAGE)))
+    )
+    return d.withColumn("shown", shown).where("shown is not null").drop("_v", "_b")
+
+
 def readable_lines(lines: DataFrame, text: str, limit: int = 2000) -> DataFrame:
     """The turns of user and assistant as text: adds role and shown. String contents stand as they are, of content blocks
     the texts are joined, tools and images leave a mark; thinking and meta lines are dropped."""
