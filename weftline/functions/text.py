@@ -218,7 +218,7 @@ def iso_instant(text: Column) -> Column:
     zone; all else is null."""
     day = r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
     timed = rf"^{day}T(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{{1,9}})?)?(?:Z|[+-](?:[01]\d|2[0-3]):?[0-5]\d)$"
-    zone = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    zone = F.regexp_replace(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"(T\d{2}:\d{2})(?=[Z+-])", "$1:00")
     return F.when(text.rlike(f"^{day}$"), F.unix_millis(F.concat(text, F.lit("T00:00:00Z")).try_cast("timestamp"))).when(text.rlike(timed), F.unix_millis(zone.try_cast("timestamp")))
 
 

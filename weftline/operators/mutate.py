@@ -69,6 +69,33 @@ def soft_delete(df: DataFrame, condition: Column, status: str = "status", archiv
     return df.withColumn("changed", F.coalesce(hit, F.lit(False))).withColumn(status, F.when(F.col("changed"), archived).otherwise(F.col(status)))
 
 
+def undo_recent(df: DataFrame, project: str, key: str, now: Column, max_age_seconds: int, time: str = "created_at") -> DataFrame:
+    """The next snapshot with the newest active row of a project and key archived, if it is younger than the age; ``changed`` tells.
+    ``df``: project, key, status, id and the time."""
+    if not project.strip() or not key.strip() or max_age_seconds <= 0:
+        raise ValueError("a project, a key and an age above 0 are needed")
+    young = F.unix_micros(now) - F.unix_micros(F.col(time)) < max_age_seconds * 1_000_000
+    hit = df.where((F.col("project") == project) & (F.col("key") == key) & (F.col("status") == "active") & young).agg(F.max(F.struct(time, "id")).alias("_m")).select("_m.id").where("id is not null")
+    d = df.join(F.broadcast(hit.withColumn("changed", F.lit(True))), "id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))  # one row
+    return d.withColumn("status", F.when(F.col("changed"), "archived").otherwise(F.col("status"))).select(*df.columns, "changed")
+
+
+def refine_delete(df: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
+    """The next snapshot with requested active rows archived and the time noted in their metadata, null metadata counting as
+    empty; ``changed`` tells. ``df``: id, project, status, metadata; ``requests``: id, project: a row is found only in its
+    own project. Requests that find nothing change nothing."""
+    r = requests.select("id", "project").distinct().withColumn("_r", F.lit(True))
+    d = df.join(r, ["id", "project"], "left").withColumn("changed", F.coalesce(F.col("_r") & (F.col("status") == "active"), F.lit(False)))
+    note = F.concat(F.lit('{"deleted":{"at":"'), at, F.lit('"}}'))
+    d = d.withColumn("metadata", F.when(F.col("changed"), merge_metadata(F.col("metadata"), "refine", note)).otherwise(F.col("metadata")))
+    return d.withColumn("status", F.when(F.col("changed"), "archived").otherwise(F.col("status"))).select(*df.columns, "changed")
+
+
+def not_found(requests: DataFrame, df: DataFrame) -> DataFrame:
+    """Requests of :func:`refine_delete` that no active row answers."""
+    return requests.join(df.where("status = 'active'").select("id", "project"), ["id", "project"], "left_anti")
+
+
 def guarded_rewrite(df: DataFrame, plan: DataFrame, key: str, before: dict[str, str], after: dict[str, str]) -> DataFrame:
     """The next snapshot: a row of the plan is rewritten only if all its before-columns still hold (nulls equal nulls);
     ``applied`` is true, or false for a plan row that was refused, null for rows outside the plan."""

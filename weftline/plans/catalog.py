@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import capture_queries, core_queries, search_queries, source_queries, time_queries  # noqa: F401
+from weftline.plans import capture_queries, core_queries, repair_queries, search_queries, source_queries, time_queries  # noqa: F401
 
 QUERIES: dict = {
     **core_queries.QUERIES,
