@@ -3,7 +3,7 @@
 The events of all sequences are range-sorted by (sequence, position) into chunks of about equal size, so a
 sequence that holds a third of all rows is spread over many chunks. Each chunk encodes its runs locally.
 Only the first and the last run of a chunk can continue in a neighbour; these summaries (at most two a chunk)
-are joined by a prefix merge over the chunk order: (tool, first, last, count, first time, last time)
+are joined by a parallel prefix merge over the chunk order: (tool, first, last, count, first time, last time)
 summaries combine associatively, and runs that fill whole chunks chain across any number of them.
 """
 
@@ -12,11 +12,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.blocks import lagged, running
 from weftline.session import cut
 
+#: Chunks whose summaries one task scans.
+SCAN = 256
+
 # Names that wrap a tool without making it another one.
 WRAPPERS = ("functions", "function", "default_api", "tools", "tool", "api", "multi_tool_use")
 
@@ -143,17 +147,13 @@ def collapse_runs(
     runs = cut(sorted_chunks.mapInPandas(_encode, _RUN))
     keep = ["seq", "tool", "first_offset", "last_offset", "n_events", "t_first", "t_last", "first_id", "first_name"]
     inner = runs.where("not first_run and not last_run").select(*keep)
-    # At most two summaries a chunk: the merge runs over as many rows as there are chunks, not events.
-    order = Window.orderBy("chunk", "pos")
-    before = lambda c: F.lag(c).over(order)
-    joins = (
-        (before("seq") == F.col("seq"))
-        & (before("tool") == F.col("tool"))
-        & before("last_run")
-        & F.col("first_run")
-    )
-    edges = runs.where("first_run or last_run").withColumn("starts", F.when(joins, 0).otherwise(1))
-    edges = edges.withColumn("island", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # At most two summaries a chunk. The prefix merge over them is parallel: blocks of chunks are scanned each for itself, and
+    # what passes from block to block is one row a block.
+    block, order = F.floor(F.col("chunk") / SCAN), ["chunk", "pos"]
+    edges = lagged(runs.where("first_run or last_run"), [], block, order, F.struct("seq", "tool", "last_run"), "prev")
+    before = lambda c: F.col(f"prev.v.{c}")
+    joins = (before("seq") == F.col("seq")) & (before("tool") == F.col("tool")) & before("last_run") & F.col("first_run")
+    edges = running(edges, [], block, order, F.when(joins, 0).otherwise(1), "island")
     merged = edges.groupBy("island", "seq", "tool").agg(
         F.min("first_offset").alias("first_offset"),
         F.max("last_offset").alias("last_offset"),

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The vocabulary is a parameter; it is read where the tasks run and never copied into the repository.
+#: The vocabulary is a parameter; it is shipped to the executors with the job and never copied into the repository.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -29,8 +31,14 @@ def with_token_counts(df: DataFrame, text: str, keep: list[str], vocabulary: str
     """``keep`` columns and n_tokens (long): tokens of the whole text; 0 for null and empty texts. Texts go to
     Python, the columns kept pass through it unchanged."""
 
+    # shipped with the job, so that executors need no copy of it
+    if os.path.exists(vocabulary):
+        df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+
     def count(batches):
-        enc = encoding(vocabulary)
+        shipped = SparkFiles.get(name)
+        enc = encoding(shipped if os.path.exists(shipped) else vocabulary)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             n = np.fromiter((len(enc.encode_to_numpy(t, disallowed_special=())) if t else 0 for t in texts), np.int64, len(texts))
