@@ -532,7 +532,11 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return capture.byte_windows(table(spark, d, "transcript_chunks").where("raw is not null"), "chunk_id", "raw", 32 * 1024)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT session_id, obs_id, strlen(to_json({'title': title, 'facts': facts, 'narrative': narrative})::VARCHAR)::BIGINT AS size, coalesce(obs_type = 'decision', false) AS first, observed_at AS t FROM observations WHERE session_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first DESC, t DESC NULLS LAST, obs_id DESC) AS rn FROM o WHERE size <= 16384),
+r AS (SELECT session_id, obs_id, size, rn, 16384 - size AS room, true AS take FROM n WHERE rn = 1 UNION ALL
+SELECT n.session_id, n.obs_id, n.size, n.rn, CASE WHEN n.size <= r.room THEN r.room - n.size ELSE r.room END, n.size <= r.room FROM r JOIN n ON n.session_id = r.session_id AND n.rn = r.rn + 1)
+SELECT session_id, obs_id, size FROM r WHERE take""")
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "observations").select("session_id", "obs_id", (F.col("obs_type") == "decision").alias("first"), F.unix_micros("observed_at").alias("t"), F.octet_length(F.to_json(F.struct("title", "facts", "narrative"))).cast("long").alias("size"))
     return capture.greedy_fit(o, "session_id", "obs_id", "first", "t", "size", 16 * 1024)

@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from weftline.session import path_exists
 from weftline.sources.jsonl import EVENT, boundary
 
+STORED = "transcript_path string, boundary long, session_id string, tool_name string, batch int, bucket int"
+
 
 def event_stream(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFrame:
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", max_files).json(folder)
@@ -50,21 +53,29 @@ def checkpoint_ranges(events: DataFrame) -> DataFrame:
     )
 
 
+#: Partitions of the table of boundaries by a hash of the path: a batch reads only those of its own paths.
+BUCKETS = 64
+
+
 def _write_once(target: str):
-    """Each batch adds the events whose (path, offset) the table lacks. The batch id is a partition that is overwritten,
-    so a batch that is run again after a failure replaces what it had written."""
+    """Each batch adds the events whose (path, offset) the table lacks, and reads only the partitions that its paths can be
+    in. The batch id is a partition that is overwritten, so a batch that is run again after a failure replaces what it
+    had written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("boundary", boundary(F.col("transcript_offset"), F.col("hwm_offset"))).where("boundary is not null and transcript_path is not null")
         new = new.groupBy("transcript_path", "boundary").agg(F.min("session_id").alias("session_id"), F.min("tool_name").alias("tool_name"))
+        new = new.withColumn("bucket", (F.crc32("transcript_path") % BUCKETS).cast("int")).persist()
         try:
-            old = spark.read.parquet(target).where(F.col("batch") != batch_id).select("transcript_path", "boundary")
-            new = new.join(old, ["transcript_path", "boundary"], "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+            out = new
+            if path_exists(spark, target):
+                old = spark.read.schema(STORED).parquet(target).where((F.col("batch") != batch_id) & F.col("bucket").isin(touched))
+                out = new.join(old.select("transcript_path", "boundary"), ["transcript_path", "boundary"], "left_anti")
+            out.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={batch_id}")
+        finally:
+            new.unpersist()
 
     return write
 
