@@ -527,7 +527,12 @@ def late_verdict(spark: SparkSession, d: str) -> DataFrame:
     return ranges.late_verdict(w, seen.select(*keys, F.col("start_offset").alias("start"), F.col("end_offset").alias("end")).distinct())
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT chunk_id, raw, strlen(raw)::BIGINT AS n FROM transcript_chunks WHERE raw <> ''),
+l AS (SELECT * FROM (SELECT chunk_id, n, sum(strlen(x) + 1) OVER (PARTITION BY chunk_id ORDER BY k)::BIGINT AS e FROM (SELECT chunk_id, n, unnest(string_split(raw, chr(10))) AS x, generate_subscripts(string_split(raw, chr(10)), 1) AS k FROM c)) WHERE e <= n),
+h AS (SELECT chunk_id, sum(strlen(x)) OVER (PARTITION BY chunk_id ORDER BY k)::BIGINT AS e FROM (SELECT chunk_id, unnest(regexp_extract_all(raw, '(?s).')) AS x, generate_subscripts(regexp_extract_all(raw, '(?s).'), 1) AS k FROM c WHERE n > 32768)),
+w AS (SELECT chunk_id, n, 0::BIGINT AS a, 0::BIGINT AS z, -1 AS no FROM c UNION ALL
+SELECT w.chunk_id, w.n, w.z, CASE WHEN w.z + 32768 >= w.n THEN w.n ELSE coalesce((SELECT max(e) FROM l WHERE l.chunk_id = w.chunk_id AND e > w.z AND e <= w.z + 32768), (SELECT max(e) FROM h WHERE h.chunk_id = w.chunk_id AND e > w.z AND e <= w.z + 32768)) END, no + 1 FROM w WHERE w.z < w.n)
+SELECT chunk_id, no::INT AS window_no, a AS start, z AS "end" FROM w WHERE no >= 0""")
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return capture.byte_windows(table(spark, d, "transcript_chunks").where("raw is not null"), "chunk_id", "raw", 32 * 1024)
 

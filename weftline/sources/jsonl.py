@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.blocks import running
+
 EVENT = "session_id string, project_id string, tool_name string, timestamp string, transcript_path string, transcript_offset long, hwm_offset long"
 # Tools whose events are not captured.
 SKIPPED_TOOLS = ("ListMcpResourcesTool", "SlashCommand", "Skill", "TodoWrite", "AskUserQuestion")
 
 
+#: Lines of a block: how many of a file one task adds up.
+BLOCK_LINES = 1 << 16
+
+
 def with_offsets(lines: DataFrame, keys: list[str], line_no: str, text: str) -> DataFrame:
-    """Byte range [start, end) of each line of a file, its newline included in the next start."""
-    w = Window.partitionBy(*keys).orderBy(line_no).rowsBetween(Window.unboundedPreceding, -1)
-    d = lines.withColumn("start", F.coalesce(F.sum(F.octet_length(text) + 1).over(w), F.lit(0)))
-    return d.withColumn("end", F.col("start") + F.octet_length(text))
+    """Byte range [start, end) of each line of a file, its newline included in the next start. Files of any length are added
+    up in blocks of lines."""
+    size = F.octet_length(text)
+    d = running(lines, keys, F.floor(F.col(line_no) / BLOCK_LINES), [line_no], (size + 1).cast("long"), "_upto")
+    return d.withColumn("start", F.col("_upto") - size - 1).withColumn("end", F.col("_upto") - 1).drop("_upto")
 
 
 def parse_events(lines: DataFrame, text: str = "value") -> DataFrame:
