@@ -343,3 +343,18 @@ def test_tools_check_their_arguments(spark):
     for tool, args in bad:
         with pytest.raises(ValueError):
             api.call(store, tool, args)
+
+
+def test_greedy_fit_of_hot_groups_equals_the_plain_loop(spark):
+    rnd = random.Random(12)
+    rows = [("hot", k, rnd.random() < 0.2, rnd.choice([None, rnd.randrange(500)]), rnd.choice([0, 1, 3, 3, 3, 40, 90, 200])) for k in range(3000)]
+    rows += [("small", k, False, k, 2) for k in range(5)] + [(None, 1, True, 1, 1), ("small", 9, None, 3, None)]
+    df = spark.createDataFrame(rows, "g string, k int, first boolean, t int, size int")
+    got = {(r.g, r.k) for r in capture.greedy_fit(df, "g", "k", "first", "t", "size", 150).collect()}
+    want = {("small", k) for k in range(5)}
+    room = 150
+    for _, k, first, t, size in sorted((r for r in rows if r[0] == "hot"), key=lambda r: (-r[2], r[3] is None, -(r[3] or 0), -r[1])):
+        if size <= room:
+            want.add(("hot", k))
+            room -= size
+    assert got == want

@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,9 +42,11 @@ def greedy_fit(df: DataFrame, group: str, key: str, first: str, time: str, size:
     """Selected rows per group: those with ``first`` set before the others, each newest first; a row that does not fit
     the rest of the capacity is skipped and the next one tried.
 
-    Groups that fit as a whole keep all their rows and never leave the JVM. In the others the choice is sequential; their
-    rows hold a key, a flag and two numbers each. Rows larger than the capacity can never be taken and are dropped
-    before the shuffle. Null groups and sizes are left out.
+    Groups that fit as a whole keep all their rows and never leave the JVM. In the others the choice is sequential, but
+    bounded: room never grows, so of the rows of one size those taken are the first ones, at most capacity / size; the
+    rest is dropped before a group is gathered, and no group has more than some capacity x log(capacity) rows of a key,
+    a flag and two numbers. Rows without a size above 0 always fit, rows larger than the capacity never. Null groups and
+    sizes are left out.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -57,9 +59,12 @@ def greedy_fit(df: DataFrame, group: str, key: str, first: str, time: str, size:
 
     d = df.select(group, key, F.coalesce(first, F.lit(False)).alias(first), time, size).where((F.col(size) <= capacity) & F.col(group).isNotNull())
     t = dict(d.dtypes)
-    full = d.groupBy(group).agg(F.sum(size).alias("_n")).where(F.col("_n") > capacity).select(group)
-    whole = d.join(full, group, "left_anti").select(group, key, size)
-    return whole.unionByName(d.join(full, group, "left_semi").groupBy(group).applyInPandas(run, f"{group} {t[group]}, {key} {t[key]}, {size} {t[size]}"))
+    full = d.groupBy(group).agg(F.sum(F.greatest(F.col(size), F.lit(0))).alias("_n")).where(F.col("_n") > capacity).select(group)
+    free = F.col(size) <= 0
+    whole = d.where(free).unionByName(d.where(~free).join(full, group, "left_anti")).select(group, key, size)
+    w = Window.partitionBy(group, size).orderBy(F.desc(first), F.desc_nulls_last(time), F.desc(key))
+    some = d.where(~free).join(full, group, "left_semi").withColumn("_k", F.row_number().over(w)).where((F.col("_k") <= capacity) & (F.col("_k") * F.col(size) <= capacity)).drop("_k")
+    return whole.unionByName(some.groupBy(group).applyInPandas(run, f"{group} {t[group]}, {key} {t[key]}, {size} {t[size]}"))
 
 
 def _json_size(x) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import content_length
 from weftline.operators.capture import window_ends
-from weftline.operators.ranges import merge_ranges
+from weftline.operators.ranges import BLOCK, merge_ranges
 
 # ---- the order of a tick -------------------------------------------------------------------------------------
 
@@ -127,7 +127,7 @@ def skip_past(state: DataFrame, dead: DataFrame) -> DataFrame:
     many follow one another; those behind a gap wait."""
     s = state.groupBy("path").agg(F.max("checkpoint").alias("at"))
     ranges = dead.select("path", "start", "end").unionByName(s.select("path", F.lit(-1).cast("long").alias("start"), F.col("at").alias("end")))
-    chain = merge_ranges(ranges, ["path"]).where("start = -1").select("path", F.col("end").alias("checkpoint"))
+    chain = merge_ranges(ranges, ["path"], block=BLOCK).where("start = -1").select("path", F.col("end").alias("checkpoint"))
     n = dead.join(s, "path").join(chain, "path").where("end <= checkpoint and end > at").groupBy("path").agg(F.count("*").alias("skipped"))
     return chain.join(n, "path", "left").select("path", "checkpoint", F.coalesce("skipped", F.lit(0)).alias("skipped"))
 

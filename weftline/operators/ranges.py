@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from weftline.operators.blocks import running
 
 
+#: Bytes of a block of a transcript.
+BLOCK = 1 << 20
+
+
 def merge_ranges(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", block: int | None = None) -> DataFrame:
     """Disjoint ranges per key: ranges that overlap or touch are one; empty ones (end <= start) and nulls are dropped.
 
@@ -48,10 +52,6 @@ def covered(candidates: DataFrame, merged: DataFrame, key: str, block: int) -> D
     return upto.where((F.col("_q") == 1) & (F.col("end") <= F.col("_m"))).select(key, "start", "end")
 
 
-#: Bytes of a block of a transcript.
-BLOCK = 1 << 20
-
-
 def late_verdict(windows: DataFrame, seen: DataFrame, session: str = "session") -> DataFrame:
     """Whether a window may still be taken in: ok, later-rollup-exists or rollup-order-unknown.
 
