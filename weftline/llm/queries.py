@@ -228,7 +228,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_lines": p9_lines,
 }
 
-_TOOL = f"regexp_replace(regexp_replace(lower(regexp_replace(tool_name, '^\\s+|\\s+$', '', 'g')), '{runs.WRAP_RE}', ''), '{runs.NUMBER_RE}', '')"
+# Written from the problem's words, not from the operator: case and blanks around a name, names of wrappers before it and a
+# number behind it make no other tool; neither do blanks, hyphens and single underscores within it.
+_TOOL = r"regexp_replace(regexp_replace(lower(regexp_replace(tool_name, '^\s+|\s+$', '', 'g')), '^((functions?|default_api|tools?|api|multi_tool_use)(\.|/|::|:))+', ''), '\s*(#\s*[0-9]+|\(\s*[0-9]+\s*\)|\[\s*[0-9]+\s*\])$', '')"
 _RUNS = f"""WITH e AS (SELECT session_id, transcript_offset AS o, event_id, nullif(regexp_replace(replace({_TOOL}, '__', '|'), '[\\s_\\-]+', '', 'g'), '') AS tool FROM thin_events),
 f AS (SELECT session_id, o, min_by(tool, event_id) AS tool FROM e WHERE session_id IS NOT NULL AND o IS NOT NULL AND tool IS NOT NULL GROUP BY 1, 2),
 g AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY o) - row_number() OVER (PARTITION BY session_id, tool ORDER BY o) AS i FROM f)
