@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -189,16 +190,16 @@ def observation_text(title: Column, facts: Column, narrative: Column) -> Column:
     return F.concat_ws("\n", part(title), part(F.array_join(facts, "\n")), part(narrative))
 
 
-# Words that tell which system an answer came from.
-LEAKS = (
-    r"mcp__[a-z_\-]+__", r"cc[_\-]memory[_a-z]*", r"claude[\-_]mem[a-z\-_]*", r"mcp-search", r"chroma[\-_a-z]*", r"smart_(search|outline|unfold)",
-    r"get_observations", r"cc_task_[a-z]*", r"cc_reminders_due", r"rollup", r"spool", r"observation[s]?\b",
-)
+# Words that tell which kind of system an answer came from; names of systems are the caller's.
+LEAKS = (r"mcp__[a-z_\-]+__", r"mcp-search", r"chroma[\-_a-z]*", r"smart_(search|outline|unfold)", r"get_observations", r"rollup", r"spool", r"observation[s]?\b")
 LEAK_MARK = "[工具]"
 
 
-def redact_leaks(text: Column) -> Column:
-    for p in LEAKS:
+def redact_leaks(text: Column, systems: tuple[str, ...] = ()) -> Column:
+    """Names of tools and of the given systems replaced by a mark; a system's words may be joined by a hyphen, an underscore or
+    a blank, and what is attached to its name goes with it."""
+    named = [r"[ _\-]?".join(re.escape(w) for w in s.split()) + r"[a-z_\-]*" for s in systems if s.strip()]
+    for p in (LEAKS[0], *named, *LEAKS[1:]):
         text = F.regexp_replace(text, f"(?i){p}", LEAK_MARK)
     return text
 

@@ -182,10 +182,9 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "session_summaries").select("summary_id", T.embedding_text(F.col("summary"), F.col("keywords"), F.col("decisions")).alias("x"))
 
 
-@query(r"""SELECT event_id, regexp_replace(regexp_replace(tool_name || ' via spool and claude-mem-x', 'mcp__[a-z_\-]+__', '[工具]', 'gi'), 'spool|claude[\-_]mem[a-z\-_]*', '[工具]', 'gi') AS safe FROM thin_events WHERE NOT regexp_matches(tool_name, '(?i)rollup|observation|chroma|cc[_\-]|smart_|mcp-search')""")
+@query(r"""SELECT event_id, regexp_replace(regexp_replace(tool_name || ' via spool and quill_notes-x', 'mcp__[a-z_\-]+__', '[工具]', 'gi'), 'quill[ _\-]?notes[a-z_\-]*|mcp-search|chroma[\-_a-z]*|smart_(search|outline|unfold)|get_observations|rollup|spool|observations?\b', '[工具]', 'gi') AS safe FROM thin_events""")
 def leak_redaction(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "thin_events").where(~F.col("tool_name").rlike(r"(?i)rollup|observation|chroma|cc[_\-]|smart_|mcp-search"))
-    return e.select("event_id", T.redact_leaks(F.concat("tool_name", F.lit(" via spool and claude-mem-x"))).alias("safe"))
+    return table(spark, d, "thin_events").select("event_id", T.redact_leaks(F.concat("tool_name", F.lit(" via spool and quill_notes-x")), ("quill notes",)).alias("safe"))
 
 
 @query("""SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 'x' || event_id AS note FROM events""")
