@@ -258,3 +258,18 @@ def test_limits_below_the_longest_text(spark):
     assert {150, 420} <= {x.limit_at for x in rep["two"].limits} and 200 in {x.limit_at for x in rep["outlier"].limits}
     assert rep["notes"].limits == [] and rep["notes"].limit_at is None
     found.unpersist()
+
+
+def test_ends_are_read_as_their_patterns_say(spark):
+    import re
+
+    parts = ["a", " ", ".", '"', "'", ")", "]", "`", "…", "..", "x/y", "/", ">", ";", "\n", "！", "」", "-", "b.c", "�"]
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 7))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, x string")
+    c = df.x
+    rows = df.select("x", truncation.may_be_marked(c).alias("m"), truncation.is_final(c).alias("f"), truncation.on_path(c).alias("p")).collect()
+    final, path = re.compile(r"(?:[.!?。！？][\"'”’」』)\]）]*|[)）\]`」』])\Z"), re.compile(r"(?:\A|\s)[\w\-]+(?:/[\w\-]+)+\.?\Z", re.A)
+    for r in rows:
+        assert r.f == bool(final.search(r.x)) and r.p == bool(path.search(r.x)), r.x
+        assert r.m or not re.search(truncation.MARKERS, r.x), r.x

@@ -29,8 +29,10 @@ MARKERS = (
     r"|\((?:cut|truncated|more|continued|cont\.|to be continued|text truncated|\.\.\.|…)\)|<(?:cut|truncated|more|snip)>|&hellip;|�))+\s*$"
 )
 #: What every marker ends on; most texts do not, and need no search for one.
-MAY_BE_MARKED = r"(?:…|\.\.\.|[\])>;�])\s*$"
-FINAL = r"(?:[.!?。！？][\"'”’」』)\]）]*|[)）\]`」』])$"
+MARKED_ENDS = "…])>;�"
+# Marks that end a sentence, what may close behind them, and what ends a text by itself.
+MARKS, CLOSERS, ENDS = ".!?。！？", "\"'”’」』)]）", ")）]`」』"
+BLANKS = " \t\n\x0b\f\r"
 
 #: A pile: at least so many different texts, and this share of the source's, within SLACK below a length, and so many
 #: times as dense as the lengths below it and those above it.
@@ -48,6 +50,27 @@ _LABEL = re.compile(r"(?:^|[\s。.])([A-Z][a-z]+: [^.:\n]{1,40})$")
 _PATH = re.compile(r"^[\w\-]+(?:/[\w\-]+)+(\.\w+)?$")
 
 
+def _last(text: Column, n: int = 1) -> Column:
+    return F.right(text, F.lit(n))
+
+
+def may_be_marked(text: Column) -> Column:
+    """Whether a text ends on what markers end on; true wherever a marker follows."""
+    x = F.rtrim(text, F.lit(BLANKS))
+    return _last(x).isin(*MARKED_ENDS) | (_last(x, 3) == "...")
+
+
+def is_final(body: Column) -> Column:
+    """Whether a text ends on a mark, closed or not, or on a closing sign."""
+    return _last(body).isin(*ENDS) | _last(F.rtrim(body, F.lit(CLOSERS))).isin(*MARKS)
+
+
+def on_path(body: Column) -> Column:
+    """Whether the last word is a path."""
+    word = F.substring_index(F.translate(body, BLANKS[1:], " " * len(BLANKS[1:])), " ", -1)
+    return word.contains("/") & word.rlike(r"^[\w\-]+(?:/[\w\-]+)+\.?$")
+
+
 def measures(text: Column) -> dict[str, Column]:
     """Lengths of a text under the encodings and escapings that storage applies."""
     chars, octets = F.char_length(text), F.octet_length(text)
@@ -332,18 +355,18 @@ def truncated(texts: DataFrame) -> DataFrame:
     t = texts.where("text is not null").select(
         "table_name", F.col("record_id").cast("long").alias("record_id"), F.coalesce("source", F.lit("")).alias("source"), "text"
     )
-    t = t.withColumn("stripped", F.when(F.col("text").rlike(MAY_BE_MARKED), F.regexp_replace("text", MARKERS, "")).otherwise(F.col("text")))
+    t = t.withColumn("stripped", F.when(may_be_marked(F.col("text")), F.regexp_replace("text", MARKERS, "")).otherwise(F.col("text")))
     t = t.withColumn("marker", F.char_length("stripped") < F.char_length(F.rtrim("text")))
-    t = t.withColumn("broken", F.col("text").rlike(r"�\W*$")).withColumn("body", F.regexp_replace("stripped", r"\s+$", ""))
+    t = t.withColumn("broken", F.col("text").contains("�") & F.col("text").rlike(r"�\W*$")).withColumn("body", F.rtrim("stripped", F.lit(BLANKS)))
     body = F.col("body")
-    marked, on_path = body.rlike(FINAL), body.contains("/") & body.rlike(r"(?:^|\s)[\w\-]+(?:/[\w\-]+)+\.?$")
-    opened = body.rlike(r"[(（\[][^)）\]\n]{0,60}$") | body.contains("`") & body.rlike(r"(?:^|[^`])`[^`\n]{1,60}$") & (F.regexp_count("body", F.lit("`")) % 2 == 1)
+    marked, path, tail = is_final(body), on_path(body), F.right(body, F.lit(64))
+    opened = tail.rlike(r"[(（\[][^)）\]\n]{0,60}$") | tail.contains("`") & tail.rlike(r"(?:^|[^`])`[^`\n]{1,60}$") & (F.regexp_count("body", F.lit("`")) % 2 == 1)
     # everything that is read off a text is read once
     t = cut(
         t.where("body <> ''").select(
             "table_name", "record_id", "source", "marker", "broken", "body", F.xxhash64("body").alias("h"), F.char_length("body").alias("size"),
-            F.when(~marked, F.xxhash64(F.right(F.regexp_replace("body", r"[0-9]+", "0"), F.lit(12)))).alias("tail"), (marked & ~on_path).alias("final"),
-            (opened | body.rlike(r"[,，、;；:：/\-]$") | on_path).alias("broken_off"), F.array(*[v.cast("int") for v in measures(body).values()]).alias("lengths"),
+            F.when(~marked, F.xxhash64(F.right(F.regexp_replace("body", r"[0-9]+", "0"), F.lit(12)))).alias("tail"), (marked & ~path).alias("final"),
+            (opened | _last(body).isin(*",，、;；:：/-") | path).alias("broken_off"), F.array(*[v.cast("int") for v in measures(body).values()]).alias("lengths"),
         )
     )
     limit = F.struct(~F.col("top"), -F.col("piled"), *[F.col(c) for c in ("part", "measure", "limit_at", "top")])
