@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from weftline.llm.neardup import _last_partners, _widths, near_duplicate_groups, near_duplicate_pairs, near_duplicates, word_sets
+from weftline.llm.neardup import _last_partners, _widths, likely, near_duplicate_groups, near_duplicate_pairs, near_duplicates, word_sets
 
 SCHEMA = "obs_id long, title string, narrative string, facts array<string>, n int, sig string"
 WORD = re.compile(r"[^\W_]+")
@@ -105,3 +105,12 @@ def test_empty_and_wordless(spark):
 def test_words(spark):
     df = spark.createDataFrame([(1, "A_b c-D", "d 資料1", ["É", None], 1, "x")], SCHEMA)
     assert sorted(word_sets(df, "obs_id", ["title", "narrative"], ["facts"]).first().words) == sorted(["a", "b", "c", "d", "資料1", "é"])
+
+
+def test_the_filter_keeps_all_wanted_rows(spark):
+    df = spark.range(0, 5000).selectExpr("id * 977 as obs_id", "id as _row")
+    wanted = df.where("obs_id % 11 = 0").selectExpr("obs_id as _end")
+    got = likely(df, df.obs_id, wanted, "_end")
+    ids = {r.obs_id for r in got.collect()}
+    assert got.columns == df.columns and {r._end for r in wanted.collect()} <= ids and len(ids) < 500
+    assert likely(df, df.obs_id, wanted.limit(0), "_end").count() == 0

@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.components import connected_components
@@ -173,6 +173,23 @@ def _pack_tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+#: Bits of the filter of :func:`likely`, in rows of 2^15: 1 MB at most is broadcast.
+FILTER_BITS, ROW_BITS = 1 << 23, 1 << 15
+
+
+def likely(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows of ``df`` whose key may be among the wanted ones, all those whose key is among them: a bitmap of their hashes,
+    of fixed size, is broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    row = lambda p: F.floor(p / ROW_BITS).cast("int")
+    p = place(F.col(wanted_key))
+    bits = wanted.groupBy(row(p).alias("_likely_row")).agg(F.bitmap_construct_agg(p % ROW_BITS).alias("_likely_bits"))
+    own = place(key)
+    j = df.withColumn("_likely_row", row(own)).withColumn("_likely_at", (own % ROW_BITS).cast("int")).join(F.broadcast(bits), "_likely_row")
+    byte = F.conv(F.hex(F.substring("_likely_bits", F.expr("_likely_at div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    return j.where(F.floor(byte / F.pow(F.lit(2), F.col("_likely_at") % 8)) % 2 == 1).select(*df.columns)
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "obs_id",
@@ -189,6 +206,7 @@ def near_duplicates(
     any of them is alike to), other columns are ignored, an empty table gives two empty results. Nothing is capped: every pair within the radius is compared.
     """
     spark = df.sparkSession
+    df = df.select(id_col, *text, *arrays)
     sets = word_sets(df, id_col, list(text), list(arrays)).where(F.size("words") > 0)
     hashed = sets.select("id", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     sig = cut(hashed.mapInArrow(_signatures, _SIG_SCHEMA))
@@ -226,8 +244,9 @@ def near_duplicates(
 
     near = cut(side("a").join(side("b"), ["ta", "tb"]).mapInPandas(_compare(threshold), "x long, y long").where("x <> y"))
     # Exact check on the words of the few rows that occur in a candidate pair.
-    ends = near.select(F.col("x").alias(id_col)).union(near.select("y")).distinct()
-    words = word_sets(df.join(ends, id_col, "left_semi"), id_col, list(text), list(arrays)).distinct()
+    ends = cut(near.select(F.col("x").alias("_end")).union(near.select("y")).distinct())
+    some = likely(df.where(F.col(id_col).isNotNull()), F.col(id_col).cast("long"), ends, "_end")  # few texts are shuffled
+    words = word_sets(some, id_col, list(text), list(arrays)).join(ends, F.col("id") == F.col("_end"), "left_semi").distinct()
     both = F.size(F.array_intersect("wx", "wy"))
     links = (
         near.join(words.select(F.col("id").alias("x"), F.col("words").alias("wx")), "x")
