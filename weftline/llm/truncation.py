@@ -67,7 +67,9 @@ def is_final(body: Column) -> Column:
 
 def on_path(body: Column) -> Column:
     """Whether the last word is a path."""
-    word = F.substring_index(F.translate(body, BLANKS[1:], " " * len(BLANKS[1:])), " ", -1)
+    word = body
+    for blank in BLANKS:
+        word = F.substring_index(word, blank, -1)
     return word.contains("/") & word.rlike(r"^[\w\-]+(?:/[\w\-]+)+\.?$")
 
 
@@ -75,16 +77,17 @@ def measures(text: Column) -> dict[str, Column]:
     """Lengths of a text under the encodings and escapings that storage applies."""
     chars, octets = F.char_length(text), F.octet_length(text)
     of = lambda sign: chars - F.char_length(F.replace(text, F.lit(sign), F.lit("")))
-    wide = lambda pattern: F.when(octets == chars, 0).otherwise(F.regexp_count(text, F.lit(pattern)))
-    lines, astral = of("\n"), wide(r"[\x{10000}-\x{10FFFF}]")
-    escaped = chars - F.char_length(F.translate(text, '"\\\n\t\r', ""))
+    lines, escaped = of("\n"), of('"') + of("\\") + of("\n") + of("\t") + of("\r")
+    # of texts with other signs than ASCII: UTF-16 units beyond the characters, and characters beyond ASCII
+    astral = F.when(octets == chars, 0).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int") - chars)
+    wide = F.when(octets == chars, 0).otherwise(chars - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]+", "")))
     return {
         "chars": chars,
         "utf8": octets,
         "utf16": chars + astral,
         "entities": chars + 4 * of("&") + 3 * (of("<") + of(">")) + 5 * of('"') + 4 * of("'"),
         "json": chars + escaped,
-        "json_ascii": chars + escaped + 5 * wide(r"[^\x00-\x7F]") + 6 * astral,
+        "json_ascii": chars + escaped + 5 * wide + 6 * astral,
         "crlf": chars + lines,
         "crlf_utf8": octets + lines,
     }
@@ -102,7 +105,10 @@ def hidden_limits(texts: DataFrame) -> DataFrame:
     different = texts.groupBy("source", "h").agg(F.collect_set("table_name").alias("parts"), F.min("tail").alias("tail"), F.min("lengths").alias("lengths"))
     each = different.select("source", F.concat(F.array(F.lit("")), "parts").alias("parts"), "tail", F.posexplode("lengths").alias("rank", "len"))
     each = each.select("source", F.explode("parts").alias("part"), "tail", "rank", "len")
-    per = each.groupBy("source", "part", "rank", "len").agg(F.count("*").alias("n"), F.count_distinct("tail").alias("o"))
+    at = ["source", "part", "rank", "len"]
+    per = each.groupBy(*at).agg(F.count("*").alias("n"))
+    ends = each.where("tail is not null").select(*at, "tail").distinct().groupBy(*at).agg(F.count("*").alias("o"))  # few texts have no mark
+    per = per.join(ends, at, "left").fillna(0, ["o"])
     w = Window.partitionBy("source", "part", "rank")  # as many rows as there are different lengths
     near = lambda c, a, z: F.coalesce(F.sum(c).over(w.orderBy("len").rangeBetween(a, z)), F.lit(0))
     top = (F.col("part") == "") & (F.col("len") == F.max("len").over(w))
@@ -169,26 +175,12 @@ BITMAP_BITS = 1 << 23
 
 
 def ending_keys(body: str) -> list[int]:
-    """Keys of the ending of a text, the most specific first, then those for unknown words."""
+    """Keys of the ending of a text, the most specific first, then those for unknown words; 0 where there is none."""
     if not body:
         return []
-    if _CJK.match(body[-1]):
-        codes = np.array([ord(c) for c in body[-4:]], np.uint64)
-        return [int(_han_keys(codes[-k:][None], k)[0]) if len(codes) >= k else 0 for k in (4, 3, 2)]
-    t = [_word(w) for w in _TOKEN.findall(body[-400:])][-3:]
-    if not t:
-        return []
-    h = _hash(t)
-    one = lambda tag, *x: int(_mix(tag, *[np.array([v], np.uint64) for v in x])[0])
-    keys = [one(_W[k - 1], *h[-k:]) if len(t) >= k else 0 for k in (3, 2, 1)]
-    before = h[-2] if len(t) > 1 else _hash([""])[0]
-    return [*keys, one(_S, _hash([t[-1][-3:]])[0]), one(_P, before)]
-
-
-def tail_key(body: str) -> int | None:
-    """The key of what follows a label (``Next: ...``) at the end of a text."""
-    m = _LABEL.search(body)
-    return int(_mix(_T, _hash([m[1]]))[0]) if m else None
+    got = next(iter(_candidate_keys([pd.DataFrame({"h": [0], "size": [len(body)], "body": [body]})])))
+    of = {level: int(np.array([key], np.int64).view(np.uint64)[0]) for level, key in zip(got.level, got.key) if level < 5}
+    return [of.get(k, 0) for k in range(max(of, default=-1) + 1)]
 
 
 def _han_keys(windows: np.ndarray, n: int) -> np.ndarray:
@@ -208,22 +200,22 @@ def _count_grams(bitmap: np.ndarray):
     def words(bodies: list[str]):
         """(codes, ends, starts a text, hashes, names) of all tokens of the batch."""
         code: dict[str, int] = {}
-        kinds: dict[tuple[str, bool], str] = {}
-        at, kind, sizes = [], [], []
+        gap_code: dict[str, int] = {}
+        at, gaps, sizes, ends = [], [], [], []
         for body in bodies:
             part = _SPLIT.split(body)
-            toks, gaps = part[1::2], part[2::2]
+            toks, between = part[1::2], part[2::2]
             at += [code.setdefault(w, len(code)) for w in toks]
-            for k, gap in enumerate(gaps):
-                key = (gap, k == len(gaps) - 1)
-                got = kinds.get(key)
-                if got is None:
-                    got = kinds[key] = _kind(*key)
-                kind.append(got)
+            gaps += [gap_code.setdefault(g, len(gap_code)) for g in between]
             sizes.append(len(toks))
+            ends.append(between[-1] if between else "")
+        size = np.array(sizes, np.int64)
+        kind = np.array([_kind(g, False) for g in gap_code] or [""], "U1")[np.array(gaps, np.int64)]
+        some = size > 0
+        kind[np.cumsum(size)[some] - 1] = [_kind(g, True) for g, n in zip(ends, sizes) if n]
         names = [_word(w) for w in code]
         hashes = _hash(names)
-        return np.array(at, np.int64), np.array(kind, "U1"), np.array(sizes, np.int64), hashes, names
+        return np.array(at, np.int64), kind, size, hashes, names
 
     def run(batches):
         for pdf in batches:
@@ -300,17 +292,32 @@ def _count_grams(bitmap: np.ndarray):
 
 def _candidate_keys(batches):
     for pdf in batches:
-        rows = []
-        for h, size, body in pdf.itertuples(index=False, name=None):
-            rows += [(h, size, k, key) for k, key in enumerate(ending_keys(body)) if key]
-            tail = tail_key(body)
-            if tail is not None:
-                rows.append((h, size, 9, tail))
-            if _CJK.match(body[-1:]):
-                rows.append((h, size, 8, 0))
-        out = pd.DataFrame(rows, columns=["h", "size", "level", "key"])
-        out["key"] = out["key"].to_numpy(np.uint64).view(np.int64) if len(out) else out["key"].astype("int64")
-        yield out
+        h, size, bodies = pdf.h.to_numpy(np.int64), pdf["size"].to_numpy(np.int64), pdf.body.tolist()
+        rows: list[tuple[np.ndarray, int, np.ndarray]] = []  # indexes of texts, level, keys
+        chinese = np.array([_CJK.match(b[-1:]) is not None for b in bodies], bool)
+        words = [[] if c else [_word(w) for w in _TOKEN.findall(b[-400:])][-3:] for b, c in zip(bodies, chinese)]
+        code: dict[str, int] = {"": 0}
+        # the last three words of each text, the last one first; its last letters; '' where there is none
+        last = np.array([[code.setdefault(w, len(code)) for w in (*reversed(t), "", "", "")[:3]] for t in words], np.int64).reshape(-1, 3)
+        ends = np.array([code.setdefault(t[-1][-3:] if t else "", len(code)) for t in words], np.int64)
+        n = np.array([len(t) for t in words], np.int64)
+        hashes = _hash(list(code))
+        w1, w2, w3 = (hashes[last[:, k]] for k in range(3))
+        for level, least, keys in ((0, 3, _mix(_W[2], w3, w2, w1)), (1, 2, _mix(_W[1], w2, w1)), (2, 1, _mix(_W[0], w1)), (3, 1, _mix(_S, hashes[ends])), (4, 1, _mix(_P, w2))):
+            i = np.flatnonzero(n >= least)
+            rows.append((i, level, keys[i]))
+        for level, k in ((0, 4), (1, 3), (2, 2)):
+            i = np.flatnonzero(chinese & np.array([len(b) >= k for b in bodies], bool))
+            if len(i):
+                signs = np.array([[ord(c) for c in bodies[j][-k:]] for j in i], np.uint64)
+                rows.append((i, level, _han_keys(signs, k)))
+        rows.append((np.flatnonzero(chinese), 8, np.zeros(int(chinese.sum()), np.uint64)))
+        tails = [(j, m[1]) for j, b in enumerate(bodies) if ": " in b and (m := _LABEL.search(b))]
+        if tails:
+            rows.append((np.array([j for j, _ in tails]), 9, _mix(_T, _hash([t for _, t in tails]))))
+        i = np.concatenate([r[0] for r in rows]).astype(np.int64)
+        keys = np.concatenate([r[2] for r in rows])
+        yield pd.DataFrame({"h": h[i], "size": size[i], "level": np.repeat([r[1] for r in rows], [len(r[0]) for r in rows]).astype(np.int32), "key": keys.view(np.int64)})
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
