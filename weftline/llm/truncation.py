@@ -151,6 +151,14 @@ def _kind(gap: str, last: bool) -> str:
     return "c"
 
 
+class _Codes(dict):
+    """Numbers of texts in the order in which they first occur."""
+
+    def __missing__(self, text: str) -> int:
+        n = self[text] = len(self)
+        return n
+
+
 _SALTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -199,14 +207,13 @@ def _count_grams(bitmap: np.ndarray):
 
     def words(bodies: list[str]):
         """(codes, ends, starts a text, hashes, names) of all tokens of the batch."""
-        code: dict[str, int] = {}
-        gap_code: dict[str, int] = {}
+        code, gap_code = _Codes(), _Codes()
         at, gaps, sizes, ends = [], [], [], []
         for body in bodies:
             part = _SPLIT.split(body)
             toks, between = part[1::2], part[2::2]
-            at += [code.setdefault(w, len(code)) for w in toks]
-            gaps += [gap_code.setdefault(g, len(gap_code)) for g in between]
+            at.extend(map(code.__getitem__, toks))
+            gaps.extend(map(gap_code.__getitem__, between))
             sizes.append(len(toks))
             ends.append(between[-1] if between else "")
         size = np.array(sizes, np.int64)
